@@ -2,5 +2,53 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .operators import book, flow, serial
+from .plans import plain
+from .plans.dialect import needs, spark_sql
+from .plans.views import QUERIES as PLANS
+from .plans.views import VIEWS
+from .sources.events import mbo_from_events
+
+
+class Frames:
+    """The views of one event log, each built once."""
+
+    def __init__(self, spark: SparkSession, mbo: DataFrame):
+        self.spark, self.made = spark, {"mbo": mbo}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = getattr(self, f"_{name}")() if hasattr(self, f"_{name}") else self.plan(VIEWS[name])
+        return self.made[name]
+
+    def plan(self, sql: str) -> DataFrame:
+        names = needs(sql)
+        if not names:
+            return self.spark.sql(spark_sql(sql))
+        return self.spark.sql(spark_sql(sql), **{n: self[n] for n in names})
+
+    def _book(self) -> DataFrame:
+        return book.replay(self["mbo"])
+
+    def _levels(self) -> DataFrame:
+        return book.levels(self["book"])
+
+    def _flow(self) -> DataFrame:
+        return flow.flow_states(self["book"], self["ofi"])
+
+    def _trades(self) -> DataFrame:
+        """Taken one at a time for each instrument and geometry, among those that beat the null probability by 0.1."""
+        chosen = self["candidates"].where("p > stop_ticks / cast(target_ticks + stop_ticks as double) + 0.1")
+        return serial.serial_trades(chosen, ["instrument_id", "target_ticks", "stop_ticks"], ["seq"])
+
+
+def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: Frames(spark, mbo_from_events(spark, sf_dir)).plan(sql)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(sql) for name, sql in PLANS.items()}
+ORACLES: dict[str, str] = {name: plain.query(sql) for name, sql in PLANS.items()}
