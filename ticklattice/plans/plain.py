@@ -25,10 +25,10 @@ from (select *, case when event_type in ('view', 'click') then 'A' when event_ty
     "versions": "select instrument_id, epoch, seq, next_seq, size, first_value(action) over e as opened, last_value(case when action <> 'F' then price_fp end ignore nulls) over e as price_fp, last_value(case when action <> 'F' then side end ignore nulls) over e as side from episodes window e as (partition by instrument_id, epoch, order_id, episode order by seq)",
     "deltas": "select instrument_id, epoch, side, price_fp, seq, sum(d) as d from (select instrument_id, epoch, side, price_fp, seq, size as d from versions where opened = 'A' union all select instrument_id, epoch, side, price_fp, next_seq, -size from versions where opened = 'A' and next_seq is not null) a group by all",
     "spans": "select instrument_id, epoch, side, price_fp, seq as from_seq, lead(seq) over p as to_seq, sum(d) over p as qty from deltas window p as (partition by instrument_id, epoch, side, price_fp order by seq)",
-    "live": "select e.instrument_id, e.seq, s.side, s.price_fp, cast(s.qty as bigint) as size, row_number() over (partition by e.instrument_id, e.seq, s.side order by case when s.side = 'B' then -s.price_fp else s.price_fp end) - 1 as lvl from epochs e join spans s on s.instrument_id = e.instrument_id and s.epoch = e.epoch and s.qty > 0 and s.from_seq <= e.seq and (s.to_seq is null or s.to_seq > e.seq)",
-    "tops": "select instrument_id, seq, max(case when side = 'B' and lvl = 0 then price_fp end) as bid, max(case when side = 'A' and lvl = 0 then price_fp end) as ask, coalesce(max(case when side = 'B' and lvl = 0 then size end), 0) as bid_size, coalesce(max(case when side = 'A' and lvl = 0 then size end), 0) as ask_size, cast(count(case when side = 'B' and lvl < 10 then 1 end) as int) as n_bids, cast(count(case when side = 'A' and lvl < 10 then 1 end) as int) as n_asks from live group by instrument_id, seq",
+    "live": "select e.instrument_id, e.seq, s.side, s.price_fp, cast(s.qty as bigint) as size, row_number() over (partition by e.instrument_id, e.seq, s.side order by case when s.side = 'B' then -s.price_fp else s.price_fp end) as nth from epochs e join spans s on s.instrument_id = e.instrument_id and s.epoch = e.epoch and s.qty > 0 and s.from_seq <= e.seq and (s.to_seq is null or s.to_seq > e.seq)",
+    "tops": "select instrument_id, seq, max(case when side = 'B' and nth = 1 then price_fp end) as bid, max(case when side = 'A' and nth = 1 then price_fp end) as ask, coalesce(max(case when side = 'B' and nth = 1 then size end), 0) as bid_size, coalesce(max(case when side = 'A' and nth = 1 then size end), 0) as ask_size, cast(count(case when side = 'B' and nth <= 10 then 1 end) as int) as n_bids, cast(count(case when side = 'A' and nth <= 10 then 1 end) as int) as n_asks from live group by instrument_id, seq",
     "book": "select e.instrument_id, e.seq, e.ts_ns, e.order_id, e.action, e.side, e.price_fp, e.size, case when e.flags & 128 <> 0 then 1 else 0 end as is_commit, lag(t.bid) over w as pre_bid, lag(t.ask) over w as pre_ask, t.bid, t.ask, coalesce(t.bid_size, 0) as bid_size, coalesce(t.ask_size, 0) as ask_size, coalesce(t.n_bids, 0) as n_bids, coalesce(t.n_asks, 0) as n_asks from epochs e left join tops t on t.instrument_id = e.instrument_id and t.seq = e.seq window w as (partition by e.instrument_id order by e.seq)",
-    "levels": "select l.instrument_id, l.seq, l.side, cast(l.lvl as int) as lvl, l.price_fp, l.size from live l join mbo m on m.seq = l.seq where m.flags & 128 <> 0 and l.lvl < 10",
+    "levels": "select l.instrument_id, l.seq, l.side, cast(l.nth - 1 as int) as lvl, l.price_fp, l.size from live l join mbo m on m.seq = l.seq where m.flags & 128 <> 0 and l.nth <= 10",
     "event_flows": f"select * from (select instrument_id, seq, is_commit, ts_ns, {_NAIVE}, coalesce(last_value(case when ts_ns >= before then ts_ns - before end ignore nulls) over w, 0) as inter_event_time_ns from (select *, {_COUNTS}, lag(ts_ns) over w as before from book window w as (partition by instrument_id order by seq)) a window w as (partition by instrument_id order by seq)) b where is_commit = 1",
     "ofi_counts": "select *, sum(case when ofi <> 0 then 1 else 0 end) over (partition by instrument_id order by seq) as u from ofi",
     "ofi_flows": "select instrument_id, seq, " + ", ".join(f"sum(ofi * pow(2, u / {h}e0)) over w * pow(2, -u / {h}e0) as ofi_{s}" for s, h in SCALES.items()) + " from ofi_counts window w as (partition by instrument_id order by seq)",

@@ -87,8 +87,8 @@ where t.ts_ns > e.ts_ns and t.ts_ns <= e.ts_ns + {HORIZON_DAYS * DAY_NS}
 group by e.seq, g.target_ticks, g.stop_ticks""",
     # the first tick beyond the horizon: each tick's next ticks are in order, so one backward join finds it
     "beyond": f"""
-select seq, instrument_id, FIRSTV(case when kind = 1 then idx end) over (partition by instrument_id order by at, kind rows between current row and unbounded following) as late, kind
-from (select seq, instrument_id, cast(null as bigint) as idx, ts_ns + {HORIZON_DAYS * DAY_NS} + 1 as at, 0 as kind from {{entries}}
+select seq, instrument_id, FIRSTV(case when kind = 1 then idx end) over (partition by instrument_id order by moment, kind rows between current row and unbounded following) as late, kind
+from (select seq, instrument_id, cast(null as bigint) as idx, ts_ns + {HORIZON_DAYS * DAY_NS} + 1 as moment, 0 as kind from {{entries}}
       union all select seq, instrument_id, idx, ts_ns, 1 from {{ticks}}) x""",
     "labels_raw": """
 select e.instrument_id, e.seq, e.ts_ns, e.ofi_fast, e.direction, e.entry_price, g.target_ticks, g.stop_ticks,
@@ -246,7 +246,7 @@ g as (select i as grp, i * per as s, (i + 1) * per as e from SERIES(0,5) x cross
 select cast(p.split as int) as split, cast(g.grp as int) as grp, case when g.grp in (g1, g2) then 'test' else 'train' end as role,
  case when g.grp not in (g1, g2) and g.grp - 1 in (g1, g2) then least(s + 300, e) else s end as range_start,
  case when g.grp not in (g1, g2) and g.grp + 1 in (g1, g2) then greatest(e - 300, s) else e end as range_end from {splits} p cross join g""",
-    "calibration": "select b.i as bin, count(c.p) as n, round(coalesce(avg(c.p), (b.i + 0.5e0) / 10), 6) as mean_predicted, round(coalesce(avg(case when c.outcome = 1 then 1e0 else 0e0 end), 0e0), 6) as observed from SERIES(0,9) b left join {candidates} c on least(cast(floor(c.p * 10) as int), 9) = b.i group by b.i".replace("coalesce(avg(case when c.outcome = 1 then 1e0 else 0e0 end), 0e0)", "avg(case when c.p is null then 0e0 when c.outcome = 1 then 1e0 else 0e0 end)"),
+    "calibration": "select b.i as bin, count(c.p) as n, round(coalesce(avg(c.p), (b.i + 0.5e0) / 10), 9) as mean_predicted, round(coalesce(avg(case when c.outcome = 1 then 1e0 else 0e0 end), 0e0), 6) as observed from SERIES(0,9) b left join {candidates} c on least(cast(floor(c.p * 10) as int), 9) = b.i group by b.i".replace("coalesce(avg(case when c.outcome = 1 then 1e0 else 0e0 end), 0e0)", "avg(case when c.p is null then 0e0 when c.outcome = 1 then 1e0 else 0e0 end)"),
     "logloss": "select target_ticks, stop_ticks, round(-avg(case when outcome = 1 then ln(greatest(p, 1e-15)) else ln(1 - least(p, 1 - 1e-15)) end), 6) as logloss from {candidates} group by target_ticks, stop_ticks",
     "overlapping_pnl": f"select target_ticks, stop_ticks, {_METRICS} from (select target_ticks, stop_ticks, {_PNL} as pnl from {{candidates}} where p > {_P_NULL} + 0.1e0) a group by target_ticks, stop_ticks",
     "serial_trades": "select instrument_id, seq, target_ticks, stop_ticks, exit_ts from {trades}",
