@@ -1,0 +1,274 @@
+"""Operators against brute force on small tables with the awkward cases: nulls, empty and
+long texts, ties, repeated rows, empty tables, and extra columns with clashing names."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from ticklattice.llm import bpe, compression, debruijn, leaks, metricjoin, minmax, pseudonyms, secrets, separators, toxicity
+import public_tokenizers
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def docs(spark, rows):
+    """(doc_id, text) with columns whose names clash with those used inside."""
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return df.select("doc_id", "text", F.lit(1).alias("rep"), F.lit("x").alias("key"), F.lit(2).alias("TEXT_"), F.lit(None).cast("string").alias("row"))
+
+
+def corpus(seed=1, n=60):
+    rng = random.Random(seed)
+    vocab = ["w%d" % i for i in range(400)] + ["the", "The", "é", "ß"]
+    base = [" ".join(rng.choices(vocab, k=rng.randint(1, 160))) for _ in range(n)]
+    out = list(base)
+    for t in base[:15]:
+        w = t.split()
+        for _ in range(2):
+            v = list(w)
+            for _ in range(max(1, len(v) // 40)):
+                v[rng.randrange(len(v))] = rng.choice(vocab)
+            out.append("  ".join(v) + "\n")
+    out += base[:4] + ["", None, " \t\n", "one", "one", "a b", "the " * 300, " ".join(base[5:40]) + " " + base[5]]
+    return list(enumerate(out))
+
+
+def test_removes_repeats(spark):
+    rows, span = corpus() + [(None, "lone")], 12
+    words = [WORD.findall(t or "") for _, t in rows]
+    count = {}
+    for w in words:
+        for i in range(len(w) - span + 1):
+            count[tuple(w[i : i + span])] = count.get(tuple(w[i : i + span]), 0) + 1
+    want = []
+    for (d, _), w in zip(rows, words):
+        gone = {j for i in range(len(w) - span + 1) if count[tuple(w[i : i + span])] > 1 for j in range(i, i + span)}
+        want.append((d, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    got = [tuple(r)[:4] for r in debruijn.remove_repeats(docs(spark, rows), span).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert debruijn.remove_repeats(docs(spark, []), span).count() == 0
+
+
+def test_repeated_row_loses_all(spark):
+    t = " ".join("w%d" % i for i in range(50))
+    got = debruijn.remove_repeats(docs(spark, [(1, t), (1, t), (2, "a")]), 35).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 50), (1, 50), (2, 0)]
+
+
+def shingles(t, width):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates(spark, width):
+    rows = corpus(2)
+    sets = {d: shingles(t, width) for d, t in rows}
+    comp = {d: d for d in sets}
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                comp[y] = x
+    got = {r["doc_id"]: r for r in minmax.near_duplicates(docs(spark, rows + [(None, "q w e")]), width, 80).collect()}
+    for d in sets:
+        assert (got[d]["n_shingles"], got[d]["component_id"], got[d]["kept"]) == (len(sets[d]), root(d), root(d) == d)
+    assert got[None]["component_id"] is None and got[None]["kept"]
+    assert minmax.near_duplicates(docs(spark, []), width).count() == 0
+
+
+def test_prefix_stage_finds_what_the_star_misses(spark):
+    # a chain: neighbours are alike, ends are not
+    w = ["t%d" % i for i in range(140)]
+    rows = [(k, " ".join(w[4 * k : 4 * k + 60])) for k in range(20)]
+    got = minmax.near_duplicates(docs(spark, rows), 2, 80).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_bpe_round_trip(spark):
+    rng = random.Random(3)
+    texts = ["", None, "a", "  x\n\n y  ", "l'été 12345 don't!!", "ß" * 50, "word " * 9000, "".join(rng.choices("ab 1\n.é", k=40000)), "x" * 30000]
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.encoding(RANKS)._mergeable_ranks, special_tokens={})
+    got = {r["doc_id"]: r for r in bpe.round_trip(docs(spark, list(enumerate(texts))), RANKS).collect()}
+    for k, t in enumerate(texts):
+        ids = enc.encode_ordinary(t or "")
+        assert got[k]["n_tokens"] == len(ids) and got[k]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    ids = bpe.encode_frame(docs(spark, [(1, "héé"), (2, None)]), RANKS)
+    assert {r["doc_id"]: bytes(r["bytes"]) for r in bpe.decode_frame(ids, RANKS).collect()} == {1: "héé".encode(), 2: b""}
+
+
+def test_separator_scan(spark):
+    rows = corpus(4)
+    blocks = separators.token_blocks(docs(spark, rows).repartition(2), RANKS, block_tokens=64)
+    got = sorted((r["ended"], r["n_tokens"]) for r in separators.scan(blocks, keep=("ended",)).collect())
+    assert got == [(d, len(bpe.encode(t or "", RANKS))) for d, t in rows]
+    assert separators.scan(separators.token_blocks(docs(spark, []), RANKS)).count() == 0
+
+
+def test_separator_scan_of_files(spark, tmp_path):
+    np.array([5, 50256, 50256, 7, 8, 9, 50256, 3], dtype="<u2").tofile(tmp_path / "a.bin")
+    got = separators.scan(separators.read_token_files(spark, str(tmp_path))).orderBy("nth").collect()
+    assert [r["n_tokens"] for r in got] == [1, 0, 3]
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(t):
+    s = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    s += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    s += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(s))
+
+
+def test_secrets(spark):
+    rng = random.Random(5)
+    bits = ["password = ", "Token:'", "secret=token:abcdefgh ", "API_KEY==", "apikey", "AKIA", "AKIA" + "Z9" * 8, "deadbeef" * 3, "0123456789abcdef01234567", " é𝒳 ", "x" * 5, "\n", "abc.d-e/f", ";"]
+    rows = [(k, "".join(rng.choices(bits, k=rng.randint(0, 14)))) for k in range(80)] + [(100, None), (101, ""), (102, "see wJalrXUtnFEMI7K7MDENGbPxRfiCYzEXAMPLEKEY here and internationalization_of_2 things")]
+    got = {r["doc_id"]: r for r in secrets.scan(docs(spark, rows)).collect()}
+    for d, t in rows:
+        want = base_spans(t or "")
+        assert got[d]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), (t, got[d]["spans"], want)
+        assert {*want.split(",")} - {""} <= {*got[d]["spans"].split(",")}
+    assert "markov:4:44" in got[102]["spans"]
+    assert secrets.scan(docs(spark, [])).count() == 0
+
+
+def test_secret_stage_redacts(spark):
+    rows = spark.createDataFrame([(1, "my password=hunter2secret ok", "en", "s", 28), (2, "clean", "en", "s", 5), (3, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r for r in secrets.stage(spark, rows, "").collect()}
+    assert got[1]["text"] == "my [secret] ok" and got[1]["n_chars"] == 14 and got[2]["text"] == "clean" and got[2]["n_chars"] == 5
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_bit_parallel_distance():
+    rng = random.Random(6)
+    for _ in range(60):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(1, n))).encode() for n in (12, 20))
+        want = min(distance(a, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1))
+        assert leaks.best_distance(a, b, 99) == want
+
+
+def test_leaks(spark):
+    rng = random.Random(7)
+    vocab = ["word%d" % i for i in range(300)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(8, 40)))) for k in range(12)] + [(50, None), (51, ""), (52, "tiny")]
+    rows, want = [], set()
+    for k in range(60):
+        body = rng.choices(vocab, k=rng.randint(0, 120))
+        if k % 3 == 0:
+            item, text = items[k % 12]
+            w = text.split()
+            for _ in range(len(w) // 10):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            at = rng.randint(0, len(body))
+            body[at:at] = [x.upper() if rng.random() < 0.3 else x for x in w]
+            want.add((k, item))
+        rows.append((k, "  ".join(body)))
+    rows += [(100, None), (101, ""), (0, rows[0][1])]
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), block=5).collect()}
+    assert want <= got
+    text = dict(rows[:60])
+    for d, i in got - want:
+        item, t = dict(items)[i], " ".join((text.get(d) or "").lower().split())
+        assert leaks.best_distance(item.encode(), t.encode(), 999) <= 0.2 * len(item)
+    assert leaks.find_leaks(docs(spark, []), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
+
+
+def test_metric_links(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 8))
+    rows = [(k, (base[k % 12] + rng.normal(scale=0.12, size=8)).tolist(), int(k % 3 == 0)) for k in range(150)]
+    rows += [(200 + k, rows[0][1], 1) for k in range(5)] + [(300, None, 1), (301, [0.0] * 8, 1), (302, [float("nan")] * 8, 1), (303, rows[1][1], None), (304, [1.0, 2.0], 1), (305, [], 1), (306, [None] * 8, 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("rep", F.lit(1)).withColumn("cnt", F.lit(2))
+    good = {i: (np.array(v), l) for i, v, l in rows if l is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    links = {i: {j for j, (w, m) in good.items() if j != i and m == l and len(w) == len(v) and v @ w / (np.sqrt(v @ v) * np.sqrt(w @ w)) >= 0.93} for i, (v, l) in good.items()}
+    old = metricjoin.CELL, metricjoin.BLOCK
+    metricjoin.CELL, metricjoin.BLOCK = 20, 16
+    try:
+        got = {r["vec_id"]: r for r in metricjoin.metric_links(df).collect()}
+    finally:
+        metricjoin.CELL, metricjoin.BLOCK = old
+    for i, _, _ in rows:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links.get(todo.pop(), ()):
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links.get(i, ())), min(seen), i == min(seen))
+    assert metricjoin.metric_links(df.limit(0)).count() == 0
+
+
+def test_pseudonyms(spark):
+    for n in (2, 10, 97, 365):
+        assert sorted(pseudonyms.permute(i, n, b"k", b"t") for i in range(n)) == list(range(n))
+    text = "mail bob.17@mail3.example.com or +1 (988) 555-2485, 192.168.1.77, 4111111111111111 and 1999-12-31; v2.0 of 300.1.1.1"
+    new, spans = pseudonyms.replaced(text)
+    assert [k for k, _, _ in spans] == ["email", "phone", "ip", "card", "date"]
+    assert all(text[a:b] not in new for _, a, b in spans) and "v2.0 of 300.1.1.1" in new and len(re.findall(r"\d{4}-\d\d-\d\d", new)) == 1
+    assert pseudonyms.luhn(re.search(r"\b\d{16}\b", new)[0])
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(docs(spark, [(1, text), (2, "call +1 (988) 555-2485"), (3, None), (4, "")])).collect()}
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1]["text"])[0] in got[2]["text"]
+    assert got[3]["text"] is None and got[4]["text"] == "" and got[1]["n_found"] == 5
+
+
+def test_classifiers_learn_and_score(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices(["th", "er", "an", "ing", "ou", "re", "st"], k=rng.randint(1, 4)))
+    good = [" ".join(word() for _ in range(rng.randint(30, 90))) for _ in range(120)]
+    bad = [" ".join(word().upper() + "!!" for _ in range(rng.randint(30, 90))) for _ in range(120)]
+    m = compression.train([(t, 1) for t in good[:80]] + [(t, 0) for t in bad[:80]])
+    assert (m.scores(good[80:]) >= 0.7).mean() > 0.95 and (m.scores(bad[80:]) >= 0.7).mean() < 0.05
+    insults = ["blockhead", "numbskull", "dimwit"]
+    foul = [" ".join([*t.split()[:10], rng.choice(insults), *t.split()[10:], rng.choice(insults)]) for t in good]
+    m = toxicity.train([(t, 1) for t in foul[:80]] + [(t, 0) for t in good[:80]])
+    assert (m.scores(foul[80:]) >= 0.3).mean() > 0.95 and (m.scores(good[80:]) >= 0.3).mean() < 0.05
+    assert (m.scores(["the b.l.o.c.k.h.e.a.d and the n u m b s k u l l"]) >= 0.3).all()
+    for model, f in ((m, toxicity.score), (compression.train([]), compression.score)):
+        got = f(docs(spark, [(1, "x"), (2, None), (3, ""), (None, "y")]), model).collect()
+        assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.train([]).scores(["a"])[0] == 0.5
+
+
+def test_kernel_is_the_plain_sum():
+    a, b = "idxiot", "idiot"
+
+    def phi(s):
+        out = {}
+        n = len(s)
+        for i in range(n):
+            for j in range(i + 1, n):
+                for k in range(j + 1, n):
+                    for m in range(k + 1, n):
+                        gap = (m - i) - 3
+                        if gap <= toxicity.GAPS:
+                            u = s[i] + s[j] + s[k] + s[m]
+                            out[u] = out.get(u, 0) + toxicity.DECAY**gap
+        return out
+
+    x, y = phi(a), phi(b)
+    want = sum(v * y.get(u, 0) for u, v in x.items()) / np.sqrt(toxicity.own(np.array([6]))[0] * toxicity.own(np.array([5]))[0])
+    _, k, _ = toxicity.Kernel([b]).rows([a])
+    assert abs(k[0, 0] - want) < 1e-12

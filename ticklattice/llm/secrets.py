@@ -4,8 +4,8 @@ Three patterns give the base spans. The method adds further spans: tokens that
 a first-order Markov model of random strings explains better than one of
 ordinary identifiers, by the mean log-likelihood ratio of their transitions.
 Both models are counted from labelled samples: random strings are made from
-digests and taken from base spans, ordinary ones are the other tokens of a
-bounded sample of documents.
+digests and taken from base spans, ordinary ones are the tokens of a bounded
+sample of documents that are no candidates, and the names of SQL functions.
 
 Positions of matches: splitting at a pattern and extracting its matches give
 the same leftmost, non-overlapping matches, so lengths add up to positions.
@@ -31,6 +31,8 @@ ORDINARY = r"[A-Za-z0-9+/_.=-]{6,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Documents and digests that the models are counted from, at most.
 SAMPLE, DIGESTS = 2000, 2000
+#: Weight of the single-character model in the transitions'.
+BACKOFF = 5.0
 #: Mean log-likelihood ratio a transition from which a token counts as a secret.
 THRESHOLD = 1.0
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -78,11 +80,16 @@ def log_ratios(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     made = spark.range(DIGESTS).select(F.explode(F.array(F.base64(digest), F.upper(F.substring(F.translate(F.base64(digest), "+/=", ""), 1, 20)), F.translate(F.base64(digest), "+/=", ""))).alias("t"))
     rest = some.select(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ").alias("text"))
     plain = rest.select(F.explode(F.expr(f"regexp_extract_all(text, '{ORDINARY}', 0)")).alias("t"))
-    counts = [transitions(held.union(made), "t"), transitions(plain, "t")]
+    plain = plain.where("not (length(t) >= 16 and rlike(t, '[0-9]') and rlike(t, '[A-Za-z]'))")  # candidates are in question
+    names = spark.sql("show system functions").select(F.col("function").alias("t")).where("length(t) > 1")
+    counts = [transitions(held.union(made), "t"), transitions(plain.union(names), "t")]
     logs = []
     for c in counts:
         total = {a: sum(c.get((a, b), 0) for b in ALPHABET) for a in ALPHABET}
-        logs.append([math.log((c.get((a, b), 0) + 0.5) / (total[a] + 0.5 * len(ALPHABET))) for a in ALPHABET for b in ALPHABET])
+        alone = {b: sum(c.get((a, b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET}
+        every = sum(alone.values())
+        # a rare first character leaves the next to its frequency alone
+        logs.append([math.log((c.get((a, b), 0) + BACKOFF * alone[b] / every) / (total[a] + BACKOFF)) for a in ALPHABET for b in ALPHABET])
     return [r - o for r, o in zip(*logs)]
 
 

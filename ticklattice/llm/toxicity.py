@@ -119,9 +119,9 @@ class Kernel:
             units.append(unit[at[hit]])
             cols.append(c[hit])
             weights.append(np.full(len(hit), w))
-        u, c, w = np.concatenate(units), np.concatenate(cols), np.concatenate(weights)
-        if not len(u):
+        if not sum(map(len, units)):
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks))), np.zeros(0, np.int64)
+        u, c, w = np.concatenate(units), np.concatenate(cols), np.concatenate(weights)
         size = np.bincount(unit)
         # no similarity exceeds the sum of the largest weights
         most = np.bincount(u, w * self.most[c], minlength=len(size))
