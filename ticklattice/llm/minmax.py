@@ -5,8 +5,9 @@ kept, so 64 hash evaluations give a signature of 128. Bands of four values
 bring documents together; links are then confirmed on the full sets.
 
 Size does not matter for the shape of the plan. Equal sets are one class first.
-Within a band's bucket every class is compared with the smallest one (a star),
-which joins the bulk of any large group of copies. Buckets that hold several
+Within a band's bucket every class is compared with one (a star), that which
+shares the most buckets with others, the likely original of a group of copies;
+that joins the bulk of any large group. Buckets that hold several
 components after that are settled without listing their pairs: their classes
 are joined on the rarest shingles of each set (prefix filter), on which any two
 sets of the similarity asked for must meet, and only across components.
@@ -129,7 +130,8 @@ def with_partners(pairs: DataFrame) -> DataFrame:
 
 
 def prefixes(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(rep, shingle): of each set the n - ceil(percent * n / 100) + 1 shingles rarest among members."""
+    """(rep, key, left): of each set the n - ceil(percent * n / 100) + 1 shingles rarest among members,
+    with the set's size (n) and how many of its shingles are not rarer (left)."""
     small_batches(members.sparkSession)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +147,8 @@ def prefixes(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     sets = ranked.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     size = F.size("s")
     take = size - F.ceil(size * percent / 100).cast("int") + 1
-    return sets.select("rep", F.explode(F.slice("s", 1, take)).alias("e")).where("e.df > 1").select("rep", F.col("e.shingle").alias("key"))
+    each = sets.select("rep", size.alias("n"), F.posexplode(F.slice("s", 1, take)).alias("at", "e")).where("e.df > 1")
+    return each.select("rep", F.col("e.shingle").alias("key"), "n", (F.col("n") - F.col("at")).alias("left"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -165,15 +168,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = written(live.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = live.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("rep"), "bands")
     banded = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = written(banded.groupBy("key").agg(F.min("rep").alias("root"), F.max("rep").alias("last")).where("root < last").select("key", "root"), "buckets")
-    members = written(banded.join(buckets, "key"), "members")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key", "size")
+    members = written(banded.join(written(buckets, "buckets"), "key"), "members")
+    # the centre of a group of copies shares the most buckets with the most others
+    shared = written(members.groupBy("rep").agg(F.sum("size").alias("shared")), "shared")
+    centres = members.join(shared, "rep").groupBy("key").agg(F.max(F.struct("shared", (-F.col("rep")).alias("minus"))).alias("m"))
+    members = written(members.join(written(centres.select("key", (-F.col("m.minus")).alias("root")), "centres"), "key").select("key", "rep", "root"), "members")
     texts = base.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text")
     texts = written(texts, "texts")
     links = written(confirmed(with_partners(members.where("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b"))), texts, width, percent), "links")
     label = components(links)
 
     def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        return rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     now = written(labelled(members.select("key", "rep")), "members")
     open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
@@ -184,8 +191,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
         main = written(main.select("key", F.col("m.component").alias("main")), "main")
         at = written(meets.join(main, "key"), "at")
-        few = at.where("component <> main").select("key", F.col("rep").alias("b"), F.col("component").alias("other"))
-        across = few.join(at.select("key", "rep", "component", "main"), "key").where("other <> component and (component = main or rep < b)")
+        few = at.where("component <> main").select("key", F.col("rep").alias("b"), F.col("component").alias("other"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+        # at the first shingle that two sets share, what is left of either bounds their intersection
+        reach = f"least(left, left_b) * {100 + percent} >= {percent} * (n + n_b)"
+        across = few.join(at, "key").where(f"other <> component and (component = main or rep < b) and {reach}")
         more = confirmed(with_partners(across.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))), texts, width, percent)
         label = components(written(links.union(more), "links"))
     found = sig.join(classes, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
