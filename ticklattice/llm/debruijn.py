@@ -24,51 +24,80 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, pick, pieces, small_batches, table, written
-from .wordscan import U, sequences, words
+from .wordscan import U, mix, sequences, words
+
+
+def window_minima(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of width values, by doubling."""
+    have, m = 1, x
+    while have * 2 <= width:
+        m = np.minimum(m[: len(m) - have], m[have:])
+        have *= 2
+    rest = width - have
+    return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
 def anchors(prints: np.ndarray, k: int, s: int) -> np.ndarray:
     """The starts of the closed syncmers: k-mers whose least s-mer (the leftmost of equals) is first or last."""
-    n = len(prints)
+    n, width = len(prints), k - s + 1
     if n < k:
         return np.zeros(0, dtype=np.int64)
     start = np.arange(n - s + 1)
     small = sequences(prints, 1).of(start, start + s)
-    windows = np.lib.stride_tricks.sliding_window_view(small, k - s + 1)
-    least = windows.argmin(axis=1)
-    return np.flatnonzero((least == 0) | (least == k - s))
+    but_last = window_minima(small, width - 1)[: n - k + 1]
+    first, last = small[: n - k + 1], small[width - 1 :]
+    return np.flatnonzero((first <= np.minimum(but_last, last)) | (last < but_last))
 
 
 class Paths:
-    """Of one text: for each anchor the windows that have it first, start .. stop (exclusive)."""
-
-    def __init__(self, prints: np.ndarray, second: np.ndarray, span: int, k: int, s: int):
+    """Of each text of a batch: for every anchor the windows that have it first, start .. stop (exclusive)."""
+
+    def __init__(self, texts: pa.Array, span: int):
+        k, s = parameters(span)
+        self.words = w = words(texts)
+        prints, second = w.prints(0), w.prints(1)
+        self.first, self.second = sequences(prints, 0), sequences(second, 1)
+        size = np.diff(w.first)
+        text = np.repeat(np.arange(len(size)), size)
         at = anchors(prints, k, s)
-        last = len(prints) - span
-        before = np.concatenate([[-1], at[:-1]]) if len(at) else at
-        self.start, self.stop = before + 1, np.minimum(at, last) + 1
-        keep = self.stop > self.start
-        self.start, self.stop, at = self.start[keep], self.stop[keep], at[keep]
-        first = sequences(prints, 0)
-        self.anchor = first.of(at, at + k).view(np.int64)
+        text = text[at]
+        inside = at + k <= w.first[1:][text]
+        at, text = at[inside], text[inside]
+        same = np.concatenate([[False], text[1:] == text[:-1]]) if len(at) else np.zeros(0, dtype=bool)
+        before = np.where(same, np.concatenate([[0], at[:-1]]) if len(at) else at, w.first[text] - 1)
+        start, stop = before + 1, np.minimum(at, w.first[1:][text] - span) + 1
+        keep = stop > start
+        self.start, self.stop, self.text, at = start[keep], stop[keep], text[keep], at[keep]
+        self.anchor = self.first.of(at, at + k).view(np.int64)
         # where the anchor lies in the path belongs to the key
         lead = (at - self.start).astype(U) * U(0x9FB21C651E98DF25)
-        self.key1 = (first.of(self.start, self.stop + span - 1) ^ lead).view(np.int64)
-        self.key2 = sequences(second, 1).of(self.start, self.stop + span - 1).view(np.int64)
+        self.key1 = (self.first.of(self.start, self.stop + span - 1) ^ lead).view(np.int64)
+        self.key2 = self.second.of(self.start, self.stop + span - 1).view(np.int64)
+
+    def find(self, text: np.ndarray, key1: np.ndarray, key2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, path): for every asked (text, key1, key2) the paths of that text with that key."""
+        name = lambda t, x, y: mix(mix(x.view(U) + t.astype(U) * U(0x9E3779B97F4A7C15)) ^ y.view(U))
+        have, asked = name(self.text, self.key1, self.key2), name(text, key1, key2)
+        order = np.argsort(have, kind="stable")
+        lo, hi = np.searchsorted(have[order], asked, "left"), np.searchsorted(have[order], asked, "right")
+        size = hi - lo
+        which = np.repeat(np.arange(len(asked)), size)
+        return which, order[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
 
-    def __len__(self) -> int:
-        return len(self.start)
+def flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The list that each value is in, and the values, of an array of lists; null: empty."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(size)), size), lists.flatten()
 
 
-def text_paths(texts: pa.Array, span: int, k: int, s: int) -> Iterator[tuple[np.ndarray, np.ndarray, Paths]]:
-    w = words(texts)
-    prints, second = w.prints(0), w.prints(1)
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
-        yield prints[a:b], second[a:b], Paths(prints[a:b], second[a:b], span, k, s)
+def numbers(values: pa.Array, name: str) -> np.ndarray:
+    return np.array(pc.struct_field(values, name).to_numpy(zero_copy_only=False), dtype=np.int64)
 
 
 def parameters(span: int) -> tuple[int, int]:
@@ -80,80 +109,71 @@ def parameters(span: int) -> tuple[int, int]:
 
 
 def path_rows(docs: DataFrame, span: int) -> DataFrame:
-    """(row, nth, anchor, key1, key2) for every path of docs (row, text)."""
-    k, s = parameters(span)
+    """(row, anchor, key1, key2) for every path of docs (row, text)."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("row", pa.string()), ("nth", pa.int32()), ("anchor", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                found = [p for _, _, p in text_paths(column(piece, "text"), span, k, s)]
-                size = [len(p) for p in found]
-                row = column(piece, "row").take(pa.array(np.repeat(np.arange(len(size)), size)))
-                nth = np.concatenate([np.arange(n, dtype=np.int32) for n in size])
-                cols = [row, pa.array(nth, pa.int32()), *(pa.array(np.concatenate([getattr(p, c) for p in found]), pa.int64()) for c in ("anchor", "key1", "key2"))]
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+                p = Paths(column(piece, "text"), span)
+                cols = [column(piece, "row").take(pa.array(p.text)), *(pa.array(c, pa.int64()) for c in (p.anchor, p.key1, p.key2))]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "anchor", "key1", "key2"])
 
-    return docs.mapInArrow(run, "row string, nth int, anchor bigint, key1 bigint, key2 bigint")
+    return docs.mapInArrow(run, "row bigint, anchor bigint, key1 bigint, key2 bigint")
 
 
 def window_rows(asked: DataFrame, span: int) -> DataFrame:
-    """(key1, key2, off, w1, w2) for each window of the paths asked for: (text, want array<struct<nth, key1, key2>>)."""
-    k, s = parameters(span)
+    """(key1, key2, off, w1, w2) for each window of the paths asked for: (text, want array<struct<key1, key2>>)."""
     small_batches(asked.sparkSession)
     names = ["key1", "key2", "off", "w1", "w2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                out = []
-                for (prints, second, p), want in zip(text_paths(column(piece, "text"), span, k, s), column(piece, "want").to_pylist()):
-                    first, other = sequences(prints, 0), sequences(second, 1)
-                    for x in want:
-                        at = np.arange(p.start[x["nth"]], p.stop[x["nth"]])
-                        block = np.empty((5, len(at)), dtype=np.int64)
-                        block[0], block[1], block[2] = x["key1"], x["key2"], at - at[0]
-                        block[3], block[4] = first.of(at, at + span).view(np.int64), other.of(at, at + span).view(np.int64)
-                        out.append(block)
-                flat = np.concatenate(out, axis=1) if out else np.zeros((5, 0), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in flat], names=names)
+                p = Paths(column(piece, "text"), span)
+                text, want = flat(column(piece, "want"))
+                which, path = p.find(text, numbers(want, "key1"), numbers(want, "key2"))
+                i = path[np.unique(which, return_index=True)[1]]
+                size = p.stop[i] - p.start[i]
+                off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                i = np.repeat(i, size)
+                at = p.start[i] + off
+                cols = [p.key1[i], p.key2[i], off, p.first.of(at, at + span).view(np.int64), p.second.of(at, at + span).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     return asked.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def kept_words(flagged: DataFrame, span: int) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept) of (doc_id, text, hits array<struct<nth, offs array<bigint>>>).
+    """(doc_id, n_words, n_removed, kept_sha256, kept) of (doc_id, text, hits array<struct<key1, key2, offs array<bigint>>>).
 
     offs null: every window of the path repeats; hits null: the text has no repeated window.
     """
-    k, s = parameters(span)
     small_batches(flagged.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                w = words(column(piece, "text"))
-                hits = column(piece, "hits").to_pylist()
-                prints = w.prints(0) if any(hits) else None
-                second = w.prints(1) if any(hits) else None
-                out = []
-                for doc, a, b, hit in zip(column(piece, "doc_id").to_pylist(), w.first[:-1].tolist(), w.first[1:].tolist(), hits):
-                    edge = np.zeros(b - a + 1, dtype=np.int64)
-                    if hit:
-                        p = Paths(prints[a:b], second[a:b], span, k, s)
-                        for x in hit:
-                            start, stop = int(p.start[x["nth"]]), int(p.stop[x["nth"]])
-                            if x["offs"] is None:
-                                edge[start] += 1
-                                edge[stop + span - 1] -= 1
-                            else:
-                                at = start + np.array(x["offs"], dtype=np.int64)
-                                np.add.at(edge, at, 1)
-                                np.add.at(edge, at + span, -1)
-                    left = np.flatnonzero(np.cumsum(edge)[:-1] == 0) + a
-                    kept = b" ".join([w.data[i:j].tobytes() for i, j in zip(w.start[left].tolist(), w.end[left].tolist())])
+                text, hits = flat(column(piece, "hits"))
+                p = Paths(column(piece, "text"), span) if len(hits) else None
+                w = p.words if p else words(column(piece, "text"))
+                edge = np.zeros(len(w.start) + 1, dtype=np.int64)
+                if p:
+                    which, path = p.find(text, numbers(hits, "key1"), numbers(hits, "key2"))
+                    offs = pc.struct_field(hits, "offs")
+                    whole = offs.is_null().to_numpy(zero_copy_only=False)[which]
+                    np.add.at(edge, p.start[path[whole]], 1)
+                    np.add.at(edge, p.stop[path[whole]] + span - 1, -1)
+                    inner, off = flat(offs.take(pa.array(which[~whole])))
+                    at = p.start[path[~whole]][inner] + np.array(off.to_numpy(zero_copy_only=False), dtype=np.int64)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + span, -1)
+                stays = np.cumsum(edge)[:-1] == 0
+                raw, out = w.data.tobytes(), []
+                for doc, a, b in zip(column(piece, "doc_id").to_pylist(), w.first[:-1].tolist(), w.first[1:].tolist()):
+                    left = np.flatnonzero(stays[a:b]) + a
+                    kept = b" ".join([raw[i:j] for i, j in zip(w.start[left].tolist(), w.end[left].tolist())])
                     out.append((doc, b - a, b - a - len(left), sha256(kept).hexdigest(), kept.decode()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -163,20 +183,20 @@ def kept_words(flagged: DataFrame, span: int) -> DataFrame:
 def repeated_paths(docs: DataFrame, span: int) -> DataFrame:
     """(row, hits): for each text with a repeated window its paths that hold one, and where."""
     occurrences = written(path_rows(docs, span), "paths")
-    keyed = occurrences.groupBy("anchor", "key1", "key2").agg(F.count("*").alias("n"), F.min(F.struct("row", "nth")).alias("at"))
-    keyed = written(keyed, "keyed")
+    keyed = written(occurrences.groupBy("anchor", "key1", "key2").agg(F.count("*").alias("n"), F.min("row").alias("row")), "keyed")
     busy = keyed.groupBy("anchor").agg(F.count("*").alias("paths"), F.sum("n").alias("total")).where("total > 1").select("anchor", "paths")
     paths = written(keyed.join(written(busy, "anchors"), "anchor"), "graph")
     whole = paths.where("n > 1").select("key1", "key2", F.lit(None).cast("array<bigint>").alias("offs"))
-    source = paths.where("paths > 1").groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("at.nth", "key1", "key2")).alias("want"))
-    windows = written(window_rows(docs.join(written(source, "source"), "row").select("text", "want"), span), "windows")
+    source = paths.where("paths > 1").groupBy("row").agg(F.collect_list(F.struct("key1", "key2")).alias("want"))
+    texts = docs.join(written(source, "source"), "row").select("text", "want")
+    windows = written(window_rows(texts, span), "windows")
     counted = windows.join(paths.where("paths > 1").select("key1", "key2", "n"), ["key1", "key2"])
     again = written(counted.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2"), "again")
     single = paths.where("paths > 1 and n = 1").select("key1", "key2")
     partly = windows.join(again, ["w1", "w2"], "left_semi").join(single, ["key1", "key2"], "left_semi")
     partly = partly.groupBy("key1", "key2").agg(F.collect_list("off").alias("offs"))
     hits = written(whole.unionByName(partly), "hits")
-    met = occurrences.join(hits, ["key1", "key2"]).select("row", F.struct("nth", "offs").alias("hit"))
+    met = occurrences.select("row", "key1", "key2").join(hits, ["key1", "key2"]).select("row", F.struct("key1", "key2", "offs").alias("hit"))
     return met.groupBy("row").agg(F.collect_list("hit").alias("hits"))
 
 
@@ -193,8 +213,8 @@ def remove_repeats(docs: DataFrame, span: int = 35) -> DataFrame:
     other columns are ignored.
     """
     base = pick(docs, doc_id="bigint", text="string")
-    # a row's name: its text's fingerprint and its doc_id; equal rows of one name are told apart by a count
-    named = base.withColumn("row", F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
+    # a row's name; should two rows share one, paths are still found by their own keys
+    named = base.withColumn("row", F.xxhash64("doc_id", "text"))
     hits = written(repeated_paths(named, span), "found")
     return kept_words(named.join(hits, "row", "left").select("doc_id", "text", "hits"), span)
 
