@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import book, flow, serial
+from .operators import book, flow, lookback, serial
 from .plans import plain
 from .plans.dialect import needs, spark_sql
 from .plans.views import QUERIES as PLANS
 from .plans.views import VIEWS
 from .sources.events import mbo_from_events
+from .streaming.book import replayed_as_stream
 
 
 class Frames:
@@ -40,6 +41,12 @@ class Frames:
     def _flow(self) -> DataFrame:
         return flow.flow_states(self["book"], self["ofi"])
 
+    def _lob_window(self) -> DataFrame:
+        return lookback.lookback_features(self["book"])
+
+    def _stream_commits(self) -> DataFrame:
+        return replayed_as_stream(self["mbo"])
+
     def _trades(self) -> DataFrame:
         """Taken one at a time for each instrument and geometry, among those that beat the null probability by 0.1."""
         chosen = self["candidates"].where("p > stop_ticks / cast(target_ticks + stop_ticks as double) + 0.1")

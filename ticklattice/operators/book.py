@@ -64,6 +64,16 @@ class Book:
         self.orders: dict[int, tuple[str, int, int]] = {}
         self.sides = {"B": Side(1), "A": Side(-1)}
 
+    def held(self) -> tuple[dict, dict]:
+        """What restore() needs: live orders, and sizes by price of each side."""
+        return self.orders, {name: side.sizes for name, side in self.sides.items()}
+
+    def restore(self, held: tuple[dict, dict]) -> None:
+        self.orders = held[0]
+        for name, sizes in held[1].items():
+            side = self.sides[name]
+            side.sizes, side.keys = sizes, sorted(side.sign * price for price in sizes)
+
     def drop(self, order: int) -> tuple[str, int, int] | None:
         held = self.orders.pop(order, None)
         if held:

@@ -36,9 +36,27 @@ from (select *, case when event_type in ('view', 'click') then 'A' when event_ty
     "chosen": "select *, row_number() over (partition by instrument_id, target_ticks, stop_ticks order by seq) as k from candidates where p > stop_ticks / cast(target_ticks + stop_ticks as double) + 0.1",
     "taken": "select instrument_id, target_ticks, stop_ticks, k, exit_ts from chosen where k = 1 union all select c.instrument_id, c.target_ticks, c.stop_ticks, c.k, c.exit_ts from taken t join chosen c on c.instrument_id = t.instrument_id and c.target_ticks = t.target_ticks and c.stop_ticks = t.stop_ticks and c.k = (select min(n.k) from chosen n where n.instrument_id = t.instrument_id and n.target_ticks = t.target_ticks and n.stop_ticks = t.stop_ticks and n.k > t.k and n.ts_ns >= t.exit_ts)",
     "trades": "select c.* exclude (k) from chosen c join taken t on t.instrument_id = c.instrument_id and t.target_ticks = c.target_ticks and t.stop_ticks = c.stop_ticks and t.k = c.k",
+    "numbered": "select *, row_number() over (partition by instrument_id order by ts_ns, seq) as idx, count(*) over (partition by instrument_id order by ts_ns) as upto from book",
+    "looked_back": """
+select c.instrument_id, c.seq, e.idx, e.action, e.side, e.price_fp, e.size, e.ts_ns,
+ case when e.side = 'B' then coalesce(abs(e.price_fp - c.bid) < 150000000, false) when e.side = 'A' then coalesce(abs(e.price_fp - c.ask) < 150000000, false) else false end as best,
+ lag(e.side) over p as side0, lag(e.price_fp) over p as price0
+from numbered c join numbered e on e.instrument_id = c.instrument_id and e.idx > c.upto - 200 and e.idx <= c.upto where c.is_commit = 1
+window p as (partition by c.instrument_id, c.seq, e.action in ('A', 'C') order by e.idx)""",
+    "lob_window": """
+select instrument_id, seq, count(*) filter (action = 'C' and side = 'B' and best) / count(*) as cancel_rate_bid, count(*) filter (action = 'C' and side = 'A' and best) / count(*) as cancel_rate_ask,
+ count(*) filter (action = 'A' and side = 'B' and best) / count(*) as add_rate_bid, count(*) filter (action = 'A' and side = 'A' and best) / count(*) as add_rate_ask,
+ coalesce(sum(case when side = 'B' then size else -size end) filter (action in ('T', 'F')) / nullif(sum(size) filter (action in ('T', 'F')), 0), 0) as trade_aggression,
+ count(*) / greatest(case when count(*) < 2 then 1 else (max(ts_ns) - min(ts_ns)) / 1e9 end, 0.001e0) as message_rate,
+ case when count(*) filter (action = 'A') > 0 then count(*) filter (action = 'C') / count(*) filter (action = 'A') when count(*) filter (action = 'C') > 0 then 2e0 else 0e0 end as cancel_add_ratio,
+ count(*) filter (action in ('A', 'C') and side = side0 and abs(price_fp - price0) > 25000000 and best) * 1e0 as bbo_change_count,
+ (arg_max(price_fp, idx) - arg_min(price_fp, idx)) / 250000000e0 as price_momentum_ticks,
+ coalesce(abs(arg_max(price_fp, idx) - arg_min(price_fp, idx)) / 250000000e0 / nullif(count(*) filter (action in ('T', 'F')), 0), 0) as flow_toxicity
+from looked_back group by instrument_id, seq""",
+    "stream_commits": "select instrument_id, seq, ts_ns, bid, ask, bid_size, ask_size, n_bids, n_asks from book where is_commit = 1",
 }
-_ORDER = ["mbo", "epochs", "episodes", "versions", "deltas", "spans", "live", "tops", "book", "levels", "commits", "batches", "masks", "causes", "sides", "ofi", "ofi_signed", "event_flows", "ofi_counts", "ofi_flows", "flow", "lob_sums", "ticks", "entries", "geometries", "passages", "beyond", "labels_raw", "outcomes", "tokens_of", "slots", "tokens", "halves", "days", "splits", "candidates", "chosen", "taken", "trades"]
-_BEHIND = {"epochs": ["mbo"], "episodes": ["epochs"], "versions": ["episodes"], "deltas": ["versions"], "spans": ["deltas"], "live": ["spans", "epochs"], "tops": ["live"], "book": ["tops", "epochs"], "levels": ["live", "mbo"], "event_flows": ["book"], "ofi_counts": ["ofi"], "ofi_flows": ["ofi_counts"], "flow": ["event_flows", "ofi_flows"], "chosen": ["candidates"], "taken": ["chosen"], "trades": ["chosen", "taken"]}
+_ORDER = ["mbo", "epochs", "episodes", "versions", "deltas", "spans", "live", "tops", "book", "levels", "commits", "batches", "masks", "causes", "sides", "ofi", "ofi_signed", "event_flows", "ofi_counts", "ofi_flows", "flow", "lob_sums", "ticks", "entries", "geometries", "passages", "beyond", "labels_raw", "outcomes", "tokens_of", "slots", "tokens", "halves", "days", "splits", "candidates", "chosen", "taken", "trades", "numbered", "looked_back", "lob_window", "stream_commits", "arrivals", "block_ends", "breaks", "streaks", "quotes", "pointed", "ring", "snapshots", "snapshot_levels", "checked", "legal_moves", "moves"]
+_BEHIND = {"numbered": ["book"], "looked_back": ["numbered"], "lob_window": ["looked_back"], "stream_commits": ["book"], "epochs": ["mbo"], "episodes": ["epochs"], "versions": ["episodes"], "deltas": ["versions"], "spans": ["deltas"], "live": ["spans", "epochs"], "tops": ["live"], "book": ["tops", "epochs"], "levels": ["live", "mbo"], "event_flows": ["book"], "ofi_counts": ["ofi"], "ofi_flows": ["ofi_counts"], "flow": ["event_flows", "ofi_flows"], "chosen": ["candidates"], "taken": ["chosen"], "trades": ["chosen", "taken"]}
 
 
 def query(sql: str) -> str:

@@ -6,6 +6,8 @@ windows and aggregates that the optimizer plans. Prices are fixed-point (1e9).
 
 from __future__ import annotations
 
+from ..operators.lookback import NAMES as LOOKBACK_NAMES
+
 TICK = 250000000
 DAY_NS = 86400000000000
 #: Target and stop of each label, in ticks; the longest hold, in days.
@@ -134,6 +136,67 @@ from (select day, n, sum(n) over (order by day) as cum from (select cast(floor(t
 select row_number() over (order by a.i, b.i) - 1 as split, a.i as g1, b.i as g2 from SERIES(0,5) a join SERIES(0,5) b on a.i < b.i""",
     "candidates": """
 select *, ((seq * 7919 + target_ticks * 104729 + stop_ticks * 1299709) % 1000) / 1000e0 as p from {outcomes} where outcome >= 0""",
+    # a feed with lost messages; blocks of arrivals keep the window over them parallel, and only their ends are ordered as a whole
+    "arrivals": "select seq as arrival, seq as number, cast(floor(seq / 4096e0) as bigint) as block from {mbo} where seq % 97 not in (0, 30)",
+    "block_ends": "select block, first_number, lag(last_number) over (order by block) as before from (select block, min_by(number, arrival) as first_number, max_by(number, arrival) as last_number from {arrivals} group by block) a",
+    "breaks": """
+select arrival, number, prev from (
+  select a.arrival, a.number, coalesce(lag(a.number) over (partition by a.block order by a.arrival), e.before) as prev
+  from {arrivals} a join {block_ends} e on e.block = a.block) b
+where number <> prev + 1""",
+    # numbers are consecutive between two breaks, so their difference is the streak
+    "streaks": """
+select arrival, number, prev, prev - coalesce(lag(number) over (order by arrival), (select min_by(first_number, block) from {block_ends})) as streak from {breaks}""",
+    # a second feed of quotes that loses some, and whose clock is off by up to 3 microseconds
+    "quotes": """
+select instrument_id, seq, bid, ask, ts_ns + ((seq * 31) % 7 - 3) * 1000 as ts_ns, row_number() over (partition by instrument_id order by seq) as k
+from {commits} where bbo_changed and bid is not null and ask is not null and seq % 5 <> 0""",
+    "pointed": """
+select instrument_id, seq, ts_ns, bid, ask,
+       sum(case when bbo_changed and bid is not null and ask is not null and seq % 5 <> 0 then 1 else 0 end) over (partition by instrument_id order by seq) as held
+from {commits}""",
+    # the last eight quotes of a commit, best match first: equal prices, then the nearest time, then the lowest slot
+    "ring": """
+select p.instrument_id, p.seq, p.bid, p.ask, q.bid as quote_bid, q.ask as quote_ask, q.seq as quote_seq, case when q.bid = p.bid and q.ask = p.ask then 1 else 0 end as exact,
+       row_number() over (partition by p.instrument_id, p.seq order by case when q.bid = p.bid and q.ask = p.ask then 0 else 1 end, abs(q.ts_ns - p.ts_ns), (q.k - 1) % 8) as nth
+from {pointed} p cross join SERIES(0,7) s join {quotes} q on q.instrument_id = p.instrument_id and q.k = p.held - s.i
+where p.bid is not null and p.ask is not null""",
+    # snapshots to verify against, some with a wrong size, some with a level that the book lacks
+    "snapshots": "select instrument_id, ts_ns, max(seq) as seq from {commits} where seq % 4 <> 0 group by instrument_id, ts_ns",
+    "snapshot_levels": """
+select s.instrument_id, s.ts_ns, l.side, l.lvl, l.price_fp, l.size + case when s.seq % 50 = 1 and l.lvl = 0 then 1 else 0 end as size
+from {snapshots} s join {levels} l on l.instrument_id = s.instrument_id and l.seq = s.seq
+union all
+select s.instrument_id, s.ts_ns, 'B', c.n_bids, 250000000, 1
+from {snapshots} s join {commits} c on c.instrument_id = s.instrument_id and c.seq = s.seq where s.seq % 71 = 0 and c.n_bids < 10""",
+    "checked": """
+select b.instrument_id, b.seq,
+       sum(case when l.side = 'B' and l.price_fp <> x.price_fp then 1 else 0 end) as bid_prices, sum(case when l.side = 'A' and l.price_fp <> x.price_fp then 1 else 0 end) as ask_prices,
+       sum(case when l.side = 'B' and l.size <> x.size then 1 else 0 end) as bid_sizes, sum(case when l.side = 'A' and l.size <> x.size then 1 else 0 end) as ask_sizes,
+       max(case when x.side is not null and l.side is null then 1 else 0 end) as fewer
+from {book} b join {snapshots} s on s.instrument_id = b.instrument_id and s.ts_ns = b.ts_ns
+left join {snapshot_levels} x on x.instrument_id = s.instrument_id and x.ts_ns = s.ts_ns
+left join {levels} l on l.instrument_id = b.instrument_id and l.seq = b.seq and l.side = x.side and l.lvl = x.lvl
+where b.is_commit = 1 and b.action <> 'R' group by b.instrument_id, b.seq""",
+    # fixed values: the legal moves of a connection
+    "legal_moves": " union all ".join(
+        f"select '{a}' as from_state, '{b}' as to_state"
+        for a, b in (
+            ("Disconnected", "Connecting"),
+            ("Connecting", "Authenticating"),
+            ("Connecting", "Disconnected"),
+            ("Authenticating", "Subscribing"),
+            ("Authenticating", "Disconnected"),
+            ("Subscribing", "Streaming"),
+            ("Subscribing", "Disconnected"),
+            ("Streaming", "Degraded"),
+            ("Streaming", "Disconnected"),
+            ("Degraded", "Disconnected"),
+        )
+    ),
+    "moves": """
+select instrument_id, seq, lag(state) over (partition by instrument_id order by seq) as from_state, state as to_state
+from (select instrument_id, seq, case seq % 6 when 0 then 'Disconnected' when 1 then 'Connecting' when 2 then 'Authenticating' when 3 then 'Subscribing' when 4 then 'Streaming' else 'Degraded' end as state from {mbo}) a""",
 }
 
 
@@ -266,5 +329,13 @@ select target_ticks, stop_ticks, round(q, 5) as q, round(1 - ({_CDF}), 5) as p_v
     "two_stage": "select instrument_id, seq, case when p_dir < 0.5e0 then 0 when p_long > 0.5e0 then 1 else -1 end as signal from (select instrument_id, seq, 1 / (1 + exp(-(ofi_fast / 10))) as p_long, 1 / (1 + exp(-(trade_flow_fast / 5))) as p_dir from {flow}) a",
     "seq_gaps": "select instrument_id, prev_seq, seq, seq - prev_seq - 1 as missing from (select instrument_id, seq, lag(seq) over (order by seq) as prev_seq from {mbo} where seq % 97 <> 0) a where seq - prev_seq > 1",
     "latency_histogram": "select bucket, count(*) as n from (select case when ms < 0.5e0 then 0 when ms < 1 then 1 when ms < 2 then 2 when ms < 4 then 3 when ms < 8 then 4 when ms < 16 then 5 when ms < 32 then 6 when ms < 64 then 7 when ms < 128 then 8 when ms < 256 then 9 when ms < 512 then 10 else 11 end as bucket from (select (seq * 7919 % 10000) / 10e0 as ms from {mbo}) a) b group by bucket",
+    "lob_window": "select instrument_id, seq, " + ", ".join(f"{_norm(n)} as {n}" for n in LOOKBACK_NAMES) + " from {lob_window}",
+    "stream_book": "select instrument_id, seq, ts_ns, bid, ask, bid_size, ask_size, n_bids, n_asks from {stream_commits}",
+    "recovery_gaps": "select arrival, prev, number, number - prev - 1 as missing, streak from {streaks} where streak >= 50",
+    "bbo_ring_match": f"select instrument_id, seq, quote_seq, exact, cast(IDIV(abs(bid - quote_bid),{TICK}) * sign(bid - quote_bid) as bigint) as bid_ticks, cast(IDIV(abs(ask - quote_ask),{TICK}) * sign(ask - quote_ask) as bigint) as ask_ticks from {{ring}} where nth = 1",
+    "book_verify": """select instrument_id, count(*) as checks, cast(sum(bid_prices) as bigint) as bid_price_mismatches, cast(sum(ask_prices) as bigint) as ask_price_mismatches,
+ cast(sum(bid_sizes) as bigint) as bid_size_mismatches, cast(sum(ask_sizes) as bigint) as ask_size_mismatches, cast(sum(fewer) as bigint) as level_count_mismatches,
+ cast(sum(case when bid_prices + ask_prices + bid_sizes + ask_sizes + fewer = 0 then 1 else 0 end) as bigint) as matches from {checked} group by instrument_id""",
+    "state_machine": "select m.instrument_id, m.seq, m.from_state, m.to_state, case when l.to_state is null then 0 else 1 end as legal from {moves} m left join {legal_moves} l on l.from_state = m.from_state and l.to_state = m.to_state where m.from_state is not null",
     "counters": "select instrument_id, action, count(*) as n from {mbo} group by instrument_id, action",
 }
