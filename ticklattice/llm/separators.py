@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode
-from .common import column, pick, pieces, small_batches, table
+from .common import column, pick, pieces, small_batches, table, written
 
 #: The id that the rank file leaves free.
 SEPARATOR = 50256
@@ -92,7 +92,8 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays(cols, names=["file", "block", "size", "at", *keep])
 
     ddl = ", ".join(["file bigint, block bigint, size bigint, at array<int>", *(f"{c} {t}" for c, t in types.items())])
-    found = base.mapInArrow(run, ddl)
+    # read twice below, by the blocks and by their groups: written, so that blocks are made and searched once
+    found = written(base.mapInArrow(run, ddl), "scan")
     group = F.floor(F.col("block") / GROUP)
     in_group = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     summed = found.withColumn("group", group)
