@@ -196,6 +196,37 @@ def test_leaks(spark):
     assert leaks.find_leaks(docs(spark, []), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
 
 
+def test_leaks_with_edits_in_every_word(spark):
+    rng = random.Random(17)
+    vocab = ["".join(rng.choices(["th", "er", "an", "ing", "ou", "é", "st"], k=rng.randint(1, 4))) for _ in range(200)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.choice([5, 9, 20, 45])))) for k in range(16)] + [(90, "a"), (91, "of it"), (92, "x" * 900 + " end")]
+
+    def edited(text, places):
+        out = list(text.encode())
+        for i in sorted((i for i in places if out[i] < 128), reverse=True):
+            out[i : i + 1] = rng.choice([[35], [35], [], [out[i], 35]])
+        return bytes(out).decode(errors="ignore")
+
+    rows = []
+    for k in range(96):
+        _, text = items[k % 16]
+        n, most = len(text.encode()), int(0.2 * len(text.encode()) + 1e-9)
+        spread = [n * (2 * j + 1) // (2 * most) for j in range(most)]
+        places = [spread, rng.sample(range(n), most), spread[::2], range(n // 2, n // 2 + 1)][k // 16 % 4]
+        rows.append((k, " ".join([*rng.choices(vocab, k=rng.randint(0, 30)), edited(text, places), *rng.choices(vocab, k=rng.randint(0, 30))])))
+    rows += [(200, "b"), (201, None), (202, "x" * 760 + " end")]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in leaks.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), block=7).collect()}
+    want = {}
+    for k, text in rows:
+        for i, item in items:
+            a, b = item.encode().lower(), " ".join(WORD.findall(text or "")).encode().lower()
+            d = leaks.best_distance(a, b, int(0.2 * len(a) + 1e-9))
+            if b and d <= int(0.2 * len(a) + 1e-9):
+                want[k, i] = 1 - d / len(a)
+    assert got == want
+    assert sum(v < 0.84 for (_, i), v in want.items() if i < 16) >= 30
+
+
 def test_metric_links(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(12, 8))

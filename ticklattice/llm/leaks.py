@@ -1,12 +1,13 @@
 """Benchmark decontamination by edit similarity (operator 4).
 
 Items are taken in bounded blocks, each broadcast in turn to one scan of the
-documents. In a text, runs of three words shared with an item mark where an
-item-sized window may lie; a window must share as many as an edited copy would
-keep at least a third of. Windows and items are embedded by CGK random walks,
-which turn edit distance into Hamming distance; repeated samples of a few
-positions are compared (bit-sampling LSH, REPEATS times over WALKS walks), and
-pairs that agree on any sample are verified by exact edit distance.
+documents. An item that may differ by k edits is cut into k + 1 pieces; as an
+edit touches one piece, a group of c pieces has fewer than c edits for some
+group of any division, and so on inside it. So a copy within the edits keeps a
+piece whole, inside a group of three pieces with at most two edits, inside a
+stretch of twelve with at most eleven. These are asked for in turn, with the
+piece found by its bytes, and what is left is verified by exact edit distance
+on the item. No step drops a copy within the edits, however they are spread.
 """
 
 from __future__ import annotations
@@ -20,49 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, pick, pieces, small_batches, table
-from .wordscan import sequences, words
+from .wordscan import Words, words
 
 SIMILARITY = 0.8
-GRAM = 3
-#: Walks, samples of each, and positions of a sample. A position of the embeddings of two texts
-#: within the allowed edits agrees more often than not, so a sample of 3 agrees one time in 8
-#: and 64 samples miss 2 pairs in 10,000; unrelated texts agree on 3 one time in 2,000.
-WALKS, REPEATS, POSITIONS = 4, 16, 3
+#: Pieces of a group and of a stretch, and the most bytes of either that are compared.
+GROUP, STRETCH = 3, 12
+GROUP_BYTES, STRETCH_BYTES = 32, 64
 #: Items of one broadcast block.
 BLOCK = 2000
+#: Bytes of text, and pieces found in it, that are looked at in one go: their arrays stay in the cache.
+CHUNK, FOUND = 1 << 14, 1 << 16
 
-_rng = np.random.default_rng(20)
-_FRACTIONS = _rng.random((WALKS, REPEATS, POSITIONS))
-
-
-def walk(seed: int, steps: int) -> np.ndarray:
-    """For each step and byte whether the walk moves on."""
-    return np.random.default_rng(1000 + seed).integers(0, 2, (steps, 256), dtype=np.int64)
-
-
-def embed(texts: list[bytes], sizes: np.ndarray, seed: int) -> np.ndarray:
-    """CGK: at each of 3 * size steps the byte at hand is written, and a coin of that step and byte says whether to move."""
-    steps = int(3 * sizes.max())
-    padded = np.zeros((len(texts), int(sizes.max()) + 1), dtype=np.uint8)
-    for i, (t, n) in enumerate(zip(texts, sizes)):
-        cutoff = min(len(t), int(n))
-        padded[i, :cutoff] = np.frombuffer(t[:cutoff], dtype=np.uint8)
-    coins, at, row = walk(seed, steps), np.zeros(len(texts), dtype=np.int64), np.arange(len(texts))
-    out = np.empty((len(texts), steps), dtype=np.uint8)
-    for j in range(steps):
-        out[:, j] = sym = padded[row, np.minimum(at, sizes)]
-        at += coins[j, sym]
-    return out
-
-
-def samples(texts: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """(text, sample, position): what the sampled positions of all walks hold."""
-    parts = []
-    for s in range(WALKS):
-        e = embed(texts, sizes, s)
-        where = (_FRACTIONS[s][None] * (3 * sizes)[:, None, None]).astype(np.int64)
-        parts.append(e[np.arange(len(texts))[:, None, None], where])
-    return np.concatenate(parts, axis=1)
+U = np.uint64
+_LOW7 = U(0x7F7F7F7F7F7F7F7F)
+_HASH = U(0x9E3779B97F4A7C15)
+#: Zero bytes on either side of the texts, so that no look around a piece leaves the array.
+MARGIN = 256
 
 
 def best_distance(item: bytes, text: bytes, most: int) -> int:
@@ -88,59 +62,190 @@ def best_distance(item: bytes, text: bytes, most: int) -> int:
     return min(best, most + 1)
 
 
+def joined(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as their words, each followed by a space or, at the end of a text, a line feed; where each text begins."""
+    size = w.end - w.start + 1
+    begin = np.concatenate([[0], np.cumsum(size)])
+    data = np.append(w.data, np.uint8(0))[np.arange(begin[-1]) + np.repeat(w.start - begin[:-1], size)]
+    data[begin[1:] - 1] = 32
+    last = w.first[1:][w.first[1:] > w.first[:-1]]
+    data[begin[last] - 1] = 10
+    return data, begin[w.first]
+
+
+def octets(data: np.ndarray) -> np.ndarray:
+    """At each byte but the last 7, it and the next seven as a number, the first byte lowest."""
+    return np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,)).copy()
+
+
+def even(n: int, parts: int) -> list[int]:
+    """Cuts of n things into parts that differ by one at most."""
+    return [n * i // parts for i in range(parts + 1)]
+
+
+class Patterns:
+    """Byte strings of at most the bits of a word, each with the edits allowed, to be looked for side by side."""
+
+    def __init__(self, texts: list[bytes], most: list[int], code: np.ndarray, kind: type):
+        self.kind, self.size, self.most = kind, np.array([len(t) for t in texts], dtype=np.int64), np.array(most, dtype=np.int64)
+        self.codes = int(code.max(initial=0)) + 1
+        self.mask = np.zeros((len(texts), self.codes), dtype=kind)
+        for k, t in enumerate(texts):
+            for i, c in enumerate(t):
+                self.mask[k, code[c]] |= kind(1 << i)
+        self.mask = self.mask.reshape(-1)
+
+    def near(self, which: np.ndarray, coded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each pattern lies, within its edits, in the text about the place where it would begin (bit-parallel)."""
+        kind, one, most = self.kind, self.kind(1), self.most[which]
+        top = (self.size[which] - 1).astype(kind)
+        plus, minus = np.full(len(which), ~kind(0)), np.zeros(len(which), dtype=kind)
+        now = self.size[which].astype(np.int8)
+        steps = int((self.size[which] + 2 * most).max(initial=0))
+        best, row, place = now.copy(), which * self.codes, np.clip(at - most, 0, len(coded) - steps)
+        for j in range(steps):
+            eq = self.mask.take(row + coded.take(place + j))
+            x = (((eq & plus) + plus) ^ plus) | eq | minus
+            up, down = minus | ~(x | plus), plus & x
+            now += (up >> top & one).astype(np.int8)
+            now -= (down >> top & one).astype(np.int8)
+            up, down = up << one, down << one
+            x = eq | minus
+            plus, minus = down | ~(x | up), up & x
+            np.minimum(best, now, out=best)
+        return best <= most
+
+
 class Items:
-    """A block of items: their words, their runs of words, and the samples of their embeddings."""
+    """A block of items: their texts, and their pieces with the groups and stretches that these lie in."""
 
     def __init__(self, rows: list[tuple[int, str | None]], similarity: float):
         w = words(pa.array([t for _, t in rows], pa.string()), lower=True)
         keep = [k for k in range(len(rows)) if w.first[k + 1] > w.first[k]]
         self.ids = [rows[k][0] for k in keep]
-        self.n_words = np.array([w.first[k + 1] - w.first[k] for k in keep], dtype=np.int64)
         self.text = [b" ".join(w.data[w.start[i] : w.end[i]].tobytes() for i in range(w.first[k], w.first[k + 1])) for k in keep]
         self.size = np.array([len(t) for t in self.text], dtype=np.int64)
         self.edits = (self.size * (1 - similarity) + 1e-9).astype(np.int64)
-        self.slack = np.maximum(1, (self.n_words * (1 - similarity)).astype(np.int64))
-        # an edited copy keeps n - GRAM + 1 - GRAM * edits of its runs at least
-        self.need = np.maximum(1, (self.n_words - GRAM + 1 - GRAM * (self.n_words * (1 - similarity)).astype(np.int64)) // 3)
-        grams, item, offset = [], [], []
-        prefix = sequences(w.prints())
-        for i, k in enumerate(keep):
-            q = min(GRAM, int(self.n_words[i]))
-            at = np.arange(w.first[k], w.first[k + 1] - q + 1)
-            grams.append(prefix.of(at, at + q))
-            item.append(np.full(len(at), i))
-            offset.append(at - w.first[k])
-        self.short = sorted({min(GRAM, int(n)) for n in self.n_words})
-        g = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(g, kind="stable")
-        self.gram = g[order]
-        self.gram_item = np.concatenate(item)[order] if item else np.zeros(0, dtype=np.int64)
-        self.gram_at = np.concatenate(offset)[order] if offset else np.zeros(0, dtype=np.int64)
-        self.samples = samples(self.text, self.size) if keep else None
-
-    def windows(self, prints: np.ndarray) -> list[tuple[int, int]]:
-        """(item, first word) of the windows of one text that share enough runs of words with an item."""
-        found = []
-        prefix = sequences(prints)
-        for q in self.short:
-            if len(prints) < q:
-                continue
-            at = np.arange(len(prints) - q + 1)
-            g = prefix.of(at, at + q)
-            lo, hi = np.searchsorted(self.gram, g, "left"), np.searchsorted(self.gram, g, "right")
-            hit = np.flatnonzero(hi > lo)
-            if not len(hit):
+        #: items of no more bytes than edits: no piece of theirs need be kept
+        self.open = np.flatnonzero(self.edits >= self.size).tolist()
+        code = np.zeros(256, dtype=np.int64)
+        seen = sorted({c for t in self.text for c in t})
+        code[seen] = np.arange(1, len(seen) + 1)
+        self.code = code
+        found, groups, stretches = [], [], []
+        for i, (t, k) in enumerate(zip(self.text, self.edits.tolist())):
+            if k >= len(t):
                 continue
-            n = hi[hit] - lo[hit]
-            which = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            item, diag = self.gram_item[which], np.repeat(hit, n) - self.gram_at[which]
-            order = np.lexsort((diag, item))
-            item, diag = item[order], diag[order]
-            key = item * (1 << 40) + diag
-            near = np.searchsorted(key, key + self.slack[item], "right") - np.searchsorted(key, key - self.slack[item], "left")
-            ok = near >= self.need[item]
-            found += sorted({*zip(item[ok].tolist(), diag[ok].tolist())})
-        return found
+            cut = even(len(t), k + 1)
+            wide = even(k + 1, -(-(k + 1) // STRETCH))
+            for a, b in zip(wide, wide[1:]):
+                stretches.append((t[cut[a] : cut[b]][:STRETCH_BYTES], b - a - 1))
+                small = even(b - a, -(-(b - a) // GROUP))
+                for c, d in zip(small, small[1:]):
+                    c, d = a + c, a + d
+                    groups.append((t[cut[c] : cut[d]][:GROUP_BYTES], d - c - 1))
+                    for p in range(c, d):
+                        x, y = cut[p], cut[p + 1]
+                        # beside the piece: up to eight bytes of its group on either side, the longer first
+                        sides = sorted([(t[y : min(y + 8, cut[d])], y - x), (t[max(cut[c], x - 8) : x], max(cut[c] - x, -8))], key=lambda v: -len(v[0]))
+                        found.append((t[x : min(y, x + 8)], sides, d - c - 1, x - cut[c], len(groups) - 1, x - cut[a], len(stretches) - 1, x, i))
+        number = lambda s: int.from_bytes(s, "little")
+        self.length = np.array([len(f[0]) for f in found], dtype=np.int64)
+        self.key = np.array([number(f[0]) for f in found], dtype=U)
+        self.sides = [
+            (np.array([number(f[1][k][0]) for f in found], dtype=U), np.array([number(b"\x80" * len(f[1][k][0])) for f in found], dtype=U), np.array([f[1][k][1] for f in found], dtype=np.int64))
+            for k in (0, 1)
+        ]
+        of = lambda c: np.array([f[c] for f in found], dtype=np.int64)
+        self.side_edits, self.in_group, self.group, self.in_stretch, self.stretch, self.in_item, self.item = (of(c) for c in range(2, 9))
+        self.loose = int(self.side_edits.max(initial=0))
+        self.groups = Patterns([t for t, _ in groups], [e for _, e in groups], code, np.uint32)
+        self.stretches = Patterns([t for t, _ in stretches], [e for _, e in stretches], code, np.uint64)
+        # by length of the piece: where the pieces of each hash begin, in order of hash
+        self.tables = []
+        for n in sorted({*self.length.tolist()}):
+            these = np.flatnonzero(self.length == n)
+            bits = int(len(these) * 16).bit_length()
+            h = (self.key[these] * _HASH) >> U(64 - bits)
+            order = np.argsort(h, kind="stable")
+            count = np.bincount(h.astype(np.int64), minlength=1 << bits)
+            self.tables.append((U((1 << 8 * n) - 1), U(64 - bits), count.astype(np.int32), np.cumsum(count) - count, these[order], count > 0))
+
+    def seeds(self, eight: np.ndarray, start: int, stop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, piece) of the pieces that the text holds from start to stop, some at a time."""
+        for mask, shift, count, first, pieces_of, any_of in self.tables:
+            value = eight[start:stop] & mask
+            h = ((value * _HASH) >> shift).view(np.int64)
+            hit = np.flatnonzero(any_of.take(h))
+            n = count.take(h[hit]).astype(np.int64)
+            total = np.cumsum(n)
+            for part in range(0, int(total[-1]) if len(total) else 0, FOUND):
+                a, b = np.searchsorted(total, [part, part + FOUND], "right")
+                if a == b:
+                    continue
+                m, at = n[a:b], hit[a:b]
+                which = np.arange(m.sum()) + np.repeat(first[h[at]] - (np.cumsum(m) - m), m)
+                piece, at = pieces_of[which], np.repeat(at, m)
+                same = self.key[piece] == value[at]
+                yield start + at[same], piece[same]
+
+    def beside(self, eight: np.ndarray, at: np.ndarray, piece: np.ndarray, k: int) -> np.ndarray:
+        """How many of the bytes on one side of the piece are not found within its group's edits of their place."""
+        text, mask, place = (x.take(piece) for x in self.sides[k])
+        place = np.clip(at + place, self.loose, len(eight) - 1 - self.loose)
+        differ = mask
+        for s in range(-self.loose, self.loose + 1):
+            x = eight.take(place + s) ^ text
+            differ = differ & (((x & _LOW7) + _LOW7) | x)
+        return np.bitwise_count(differ)
+
+    def windows(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, begin) of pieces in the joined texts, and where their item would begin, give or take its edits."""
+        edge = np.zeros(MARGIN, dtype=np.uint8)
+        padded = np.concatenate([edge, data, edge])
+        eight, coded, end = octets(padded), self.code[padded], MARGIN + len(data)
+        none = np.zeros(0, dtype=np.int64)
+        found = [(none, none)]
+        for start in range(MARGIN, end, CHUNK):
+            for at, piece in self.seeds(eight, start, min(start + CHUNK, end)):
+                most, lost = self.side_edits.take(piece), self.beside(eight, at, piece, 0)
+                ok = np.flatnonzero(lost <= most)
+                at, piece = at[ok], piece[ok]
+                ok = np.flatnonzero(lost[ok] + self.beside(eight, at, piece, 1) <= most[ok])
+                found.append((at[ok], piece[ok]))
+        at, piece = (np.concatenate(c) for c in zip(*found))
+        for within, of, offset in ((self.groups, self.group, self.in_group), (self.stretches, self.stretch, self.in_stretch)):
+            ok = [none.astype(bool)]
+            for a in range(0, len(at), CHUNK):
+                p = piece[a : a + CHUNK]
+                ok.append(within.near(of[p], coded, at[a : a + CHUNK] - offset[p]))
+            ok = np.concatenate(ok)
+            at, piece = at[ok], piece[ok]
+        at = at - MARGIN
+        return at, self.item[piece], at - self.in_item[piece]
+
+    def pairs(self, w: Words) -> Iterator[tuple[int, int, int]]:
+        """(text, item, distance) wherever a text holds an item within its edits."""
+        data, first = joined(w)
+        at, item, begin = self.windows(data)
+        text = np.searchsorted(first, at, "right") - 1
+        low = np.maximum(begin - self.edits[item], first[text])
+        high = np.minimum(begin + self.size[item] + self.edits[item], first[text + 1] - 1)
+        spans: dict[tuple[int, int], list[list[int]]] = {}
+        for k in np.lexsort((low, item, text)).tolist():
+            held, a, b = spans.setdefault((int(text[k]), int(item[k])), []), int(low[k]), int(high[k])
+            if held and a <= held[-1][1]:
+                held[-1][1] = max(b, held[-1][1])
+            else:
+                held.append([a, b])
+        for i in self.open:
+            for t in np.flatnonzero(np.diff(first)).tolist():
+                spans[t, i] = [[int(first[t]), int(first[t + 1]) - 1]]
+        for (t, i), held in spans.items():
+            most = int(self.edits[i])
+            d = min(best_distance(self.text[i], data[a:b].tobytes(), most) for a, b in held)
+            if d <= most:
+                yield t, i, d
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -172,26 +277,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
             it = made[0]
             for batch in batches:
                 for piece in pieces(batch, "text"):
-                    w = words(column(piece, "text"), lower=True)
-                    prints = w.prints()
-                    asked, texts = [], []
-                    for doc, a, b in zip(column(piece, "doc_id").to_pylist(), w.first[:-1].tolist(), w.first[1:].tolist()):
-                        for item, first in it.windows(prints[a:b]):
-                            n, s = int(it.n_words[item]), int(it.slack[item])
-                            cut = lambda x, y: b" ".join(w.data[w.start[i] : w.end[i]].tobytes() for i in range(max(a, a + x), min(b, a + y)))
-                            texts.append(cut(first, first + n + s))
-                            asked.append((doc, item, cut(first - s, first + n + 2 * s)))
+                    ids = column(piece, "doc_id").to_pylist()
                     best: dict[tuple[int, int], float] = {}
-                    for k in range(0, len(asked), 512):
-                        part = asked[k : k + 512]
-                        which = np.array([x[1] for x in part])
-                        same = (samples(texts[k : k + 512], it.size[which]) == it.samples[which]).all(axis=2).any(axis=1)
-                        for (doc, item, wide), near in zip(part, same):
-                            if near:
-                                d = best_distance(it.text[item], wide, int(it.edits[item]))
-                                if d <= it.edits[item]:
-                                    pair = (doc, it.ids[item])
-                                    best[pair] = max(best.get(pair, 0.0), 1 - d / int(it.size[item]))
+                    for text, item, d in it.pairs(words(column(piece, "text"), lower=True)):
+                        pair = (ids[text], it.ids[item])
+                        best[pair] = max(best.get(pair, 0.0), 1 - d / int(it.size[item]))
                     rows = [(d, i, s) for (d, i), s in best.items()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
