@@ -265,6 +265,19 @@ def test_pseudonyms(spark):
     assert got[3]["text"] is None and got[4]["text"] == "" and got[1]["n_found"] == 5
 
 
+def test_dictionary_takes_from_all_texts():
+    rng = random.Random(4)
+    texts = ["%04d " % k + " ".join("t%dw%d" % (k, rng.randrange(999)) for _ in range(400)) for k in range(900)]
+    made = compression.dictionary(texts)
+    assert len(made) <= compression.DICTIONARY and all(b"t%dw" % k in made for k in range(900))
+    assert sum(t[:40].encode() in made for t in texts) < 100
+    copies = ["same words again and again, " * 3 + "x%d" % k for k in range(5000)]
+    assert b"t899w" in compression.dictionary(copies + texts)
+    model = compression.train(sorted({(t, k % 2) for k, t in enumerate(texts)}))
+    firsts = {int(x) for x in re.findall(rb"t(\d+)w", model.good)}
+    assert min(firsts) < 90 and max(firsts) > 810 and len(firsts) > 200
+
+
 def test_classifiers_learn_and_score(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices(["th", "er", "an", "ing", "ou", "re", "st"], k=rng.randint(1, 4)))

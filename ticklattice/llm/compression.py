@@ -1,7 +1,7 @@
 """Quality score from compressed sizes under two dictionaries (operator 7).
 
 One zstandard dictionary is built from texts labelled good and one from texts
-labelled bad. A text is cut into chunks, each compressed with either; the
+labelled bad, from every other text of a sample by hash. A text is cut into chunks, each compressed with either; the
 normalised difference of the sizes (of the whole text, and of its chunks that
 differ most) is calibrated to a probability by a logistic fit on labelled
 texts that are in neither dictionary.
@@ -9,6 +9,7 @@ texts that are in neither dictionary.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from .labelled import held_out, logistic, probability, sample
 #: At most so many labelled texts of each label (bad, good) are learned from.
 SAMPLE = (2000, 2000)
 CHUNK, DICTIONARY, LEVEL = 1024, 64 << 10, 3
+#: Bytes of the runs by which a part of a text counts as a near-copy of what the dictionary holds.
+RUN = 16
 THRESHOLD = 0.7
 
 
@@ -65,23 +68,43 @@ class Model:
         return probability(np.array([self.features(t) for t in texts]), self.fit)
 
 
+def spread(texts: list[str]) -> list[str]:
+    """texts in the order of a hash of them, so that any part of them is a sample."""
+    return sorted(texts, key=lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+
+
 def dictionary(texts: list[str]) -> bytes:
-    """Chunks taken in turn from all texts, DICTIONARY bytes of them: what a compressor may refer back to."""
-    cut = [chunks(t.encode()) for t in texts if t]
-    out, size, k = [], 0, 0
-    while size < DICTIONARY and any(k < len(c) for c in cut):
-        for c in cut:
-            if k < len(c) and size < DICTIONARY:
-                part = c[k][: CHUNK // 4]
+    """DICTIONARY bytes at most, what a compressor may refer back to: of every text an equal share, from a place
+    that moves through the texts from one to the next. What short texts leave of their share goes to the
+    longer ones. A part most of whose runs of RUN bytes are held already is passed over as a near-copy,
+    and its share goes to further parts of the texts."""
+    raw = [t.encode() for t in texts if t]
+    out: list[bytes] = []
+    held: set[bytes] = set()
+    size = 0
+    begin = [int(max(0, len(r) - DICTIONARY // len(raw)) * (k * 0.6180339887498949 % 1)) for k, r in enumerate(raw)]
+    seen = [0] * len(raw)  # bytes of each text that were looked at, from its own place on and round its end
+    while size < DICTIONARY and any(n < len(r) for n, r in zip(seen, raw)):
+        open_ = [k for k, r in enumerate(raw) if seen[k] < len(r)]
+        share = max(RUN * 2, (DICTIONARY - size) // len(open_))
+        for k in open_:
+            r = raw[k]
+            at = (begin[k] + seen[k]) % len(r)
+            part = r[at : at + min(share, len(r) - seen[k], DICTIONARY - size)]
+            seen[k] += len(part)
+            runs = {part[i : i + RUN] for i in range(max(1, len(part) - RUN + 1))}
+            if part and 2 * len(runs & held) <= len(runs):
+                held |= runs
                 out.append(part)
                 size += len(part)
-        k += 1
+            if size >= DICTIONARY:
+                break
     return b"".join(out)
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
     """A model of labelled texts; with no text of one of the labels every score is 0.5."""
-    by = [[t for t, y in rows if y == k] for k in (0, 1)]
+    by = [spread([t for t, y in rows if y == k]) for k in (0, 1)]
     if min(map(len, by)) < 2:
         return Model(b"", b"", None)
     model = Model(dictionary(by[1][::2]), dictionary(by[0][::2]), None)
