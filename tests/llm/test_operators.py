@@ -265,6 +265,14 @@ def test_pseudonyms(spark):
     assert got[3]["text"] is None and got[4]["text"] == "" and got[1]["n_found"] == 5
 
 
+def test_toxicity_without_labels_keeps_all(spark, tmp_path):
+    rows = docs(spark, [(1, "plain words"), (2, None)])
+    rows.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r["predicted"] for r in toxicity.op9_subsequence_kernel(spark, str(tmp_path)).collect()} == {0}
+    assert toxicity.stage(spark, rows, str(tmp_path)).count() == 2
+
+
 def test_dictionary_takes_from_all_texts():
     rng = random.Random(4)
     texts = ["%04d " % k + " ".join("t%dw%d" % (k, rng.randrange(999)) for _ in range(400)) for k in range(900)]

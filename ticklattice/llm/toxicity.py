@@ -212,7 +212,7 @@ class Model:
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
-    """A model of labelled texts; without a landmark every score is 0.5."""
+    """A model of labelled texts; without a landmark every score is 0.5 and no text is predicted toxic."""
     landmarks = choose(rows)
     if not landmarks or all(y for _, y in rows):
         return Model(None)
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), pa.array(found, pa.float64())], schema=schema)
 
     scored = pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", ((F.col("score") >= threshold) & F.lit(model.fit is not None)).cast("int").alias("predicted"))
 
 
 def trained(spark: SparkSession, sf_dir: str) -> Model:
@@ -269,7 +269,7 @@ def op9_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
+    """The documents that are not predicted toxic, with all their columns; all of them if the labels give no model."""
     small_batches(spark)
     model = trained(spark, sf_dir)
     names = docs.columns
@@ -279,7 +279,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, batch.schema.names[place], 1 << 20):
                 found = model.scores(piece.column(place).to_pylist())
-                yield piece.filter(pa.array(found < THRESHOLD))
+                yield piece.filter(pa.array((found < THRESHOLD) | (model.fit is None)))
 
     return docs.mapInArrow(run, docs.schema)
 
