@@ -1,26 +1,34 @@
 """Words and word sequences of a batch of texts as 64-bit fingerprints, by numpy.
 
-A word is a maximal run of bytes other than space and \\x09-\\x0D. A word's
-fingerprint is a polynomial in its bytes modulo 2**64, taken as a difference of
-prefix sums, so that the cost is a few vector operations a byte whatever the
-lengths; sequences of words get theirs the same way from those of their words.
+A word is a maximal run of bytes other than space and \\x09-\\x0D. A word of at
+most seven bytes is its own fingerprint (its bytes and its length, mixed), one
+of up to fifteen is mixed from two halves, a longer one is digested. Sequences
+of words get theirs as differences of prefix sums of those of their words. Two
+families with constants of their own stand beside each other where 64 bits do
+not do.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Odd multipliers of the two independent families of fingerprints.
-BASES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+#: Of the two families: a key of the words, and the odd multiplier of their sequences.
+KEYS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+BASES = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
+#: Bytes of a word that its own fingerprint holds, and those that two halves do.
+SHORT, LONG = 7, 15
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Masks of the lowest bytes of a number.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -31,7 +39,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, dtype=U)
         have[0] = 1
         have = _powers[base] = np.cumprod(have, dtype=U)
-        if len(have) > 1 << 23:  # one very long text: not kept
+        if len(have) > 1 << 18:  # one very long text: not kept
             del _powers[base]
     return have[:n]
 
@@ -68,8 +76,30 @@ class Words:
     first: np.ndarray  # of each text, the number of its first word; one more at the end
 
     def prints(self, family: int = 0) -> np.ndarray:
-        # bytes count from 1: a zero byte would else leave no trace
-        return Prefix(self.data.astype(U) + U(1), BASES[family][0]).of(self.start, self.end)
+        key = U(KEYS[family])
+        size = self.end - self.start
+        padded = np.concatenate([self.data, np.zeros(16, dtype=np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+        out = mix((eight[self.start] & _LOW_BYTES[np.minimum(size, SHORT)] | size.astype(U) << U(56)) ^ key)
+        more = np.flatnonzero(size > SHORT)
+        if len(more):
+            n = size[more]
+            rest = eight[self.start[more] + SHORT + 1] & _LOW_BYTES[np.clip(n - SHORT - 1, 0, SHORT)] | n.astype(U) << U(56)
+            out[more] = mix(mix(eight[self.start[more]] + key) ^ rest * U(KEYS[1 - family]))
+        far = np.flatnonzero(size > LONG)
+        if len(far):
+            raw = memoryview(self.data)
+            digests = [blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(self.start[far].tolist(), self.end[far].tolist())]
+            out[far] = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)[:, family]
+        return out
+
+    def spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words, each followed by one space, and where each begins (one more at the end)."""
+        size = self.end - self.start + 1
+        begin = np.concatenate([[0], np.cumsum(size)])
+        flat = np.append(self.data, np.uint8(0))[np.arange(begin[-1]) + np.repeat(self.start - begin[:-1], size)]
+        flat[begin[1:] - 1] = 32
+        return flat, begin
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,4 +125,4 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
 
 
 def sequences(prints: np.ndarray, family: int = 0) -> Prefix:
-    return Prefix(prints, BASES[family][1])
+    return Prefix(prints, BASES[family])
