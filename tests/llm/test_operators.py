@@ -227,20 +227,19 @@ def test_leaks_with_edits_in_every_word(spark):
     assert sum(v < 0.84 for (_, i), v in want.items() if i < 16) >= 30
 
 
-def test_metric_links(spark):
+@pytest.mark.parametrize("cell", [8 << 20, 64 * 20])
+def test_metric_links(spark, monkeypatch, cell):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(12, 8))
     rows = [(k, (base[k % 12] + rng.normal(scale=0.12, size=8)).tolist(), int(k % 3 == 0)) for k in range(150)]
-    rows += [(200 + k, rows[0][1], 1) for k in range(5)] + [(300, None, 1), (301, [0.0] * 8, 1), (302, [float("nan")] * 8, 1), (303, rows[1][1], None), (304, [1.0, 2.0], 1), (305, [], 1), (306, [None] * 8, 0)]
+    rows += [(200 + k, rows[0][1], 1) for k in range(5)] + [(300, None, 1), (301, [0.0] * 8, 1), (302, [float("nan")] * 8, 1), (303, rows[1][1], None), (304, [1.0, 2.0], 1), (305, [], 1), (306, [None] * 8, 0), (307, [1e200, 2e200], 1), (308, [1e-200, 2e-200], 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("rep", F.lit(1)).withColumn("cnt", F.lit(2))
     good = {i: (np.array(v), l) for i, v, l in rows if l is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    good = {i: (v / np.abs(v).max(), l) for i, (v, l) in good.items()}
     links = {i: {j for j, (w, m) in good.items() if j != i and m == l and len(w) == len(v) and v @ w / (np.sqrt(v @ v) * np.sqrt(w @ w)) >= 0.93} for i, (v, l) in good.items()}
-    old = metricjoin.CELL, metricjoin.BLOCK
-    metricjoin.CELL, metricjoin.BLOCK = 20, 16
-    try:
-        got = {r["vec_id"]: r for r in metricjoin.metric_links(df).collect()}
-    finally:
-        metricjoin.CELL, metricjoin.BLOCK = old
+    monkeypatch.setattr(metricjoin, "CELL_BYTES", cell)
+    monkeypatch.setattr(metricjoin, "ROWS", 16)
+    got = {r["vec_id"]: r for r in metricjoin.metric_links(df).collect()}
     for i, _, _ in rows:
         seen, todo = {i}, [i]
         while todo:
