@@ -33,6 +33,13 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return plain.select(*[F.col(f"c{names.index(n)}").cast(t).alias(n) for n, t in types.items()])
 
 
+def rows_by(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose doc_id is (left_semi) or is not (left_anti) in ids, its only column; all columns stay, whatever their names."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.join(ids.toDF("id").distinct(), F.col(f"c{names.index('doc_id')}").eqNullSafe(F.col("id")), how).toDF(*names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,7 +67,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str | int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of batch with at most limit bytes of text each."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()
     start = held = 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, pick, pieces, small_batches, table, written
+from .common import column, pick, pieces, rows_by, small_batches, table, written
 from .graph import components
 from .wordscan import U, mix, sequences, words
 
@@ -36,11 +36,10 @@ _SEEDS = mix(np.arange(1, PERMUTATIONS + 1, dtype=U) * U(0x9E3779B97F4A7C15))[:,
 _FACTORS = mix(_SEEDS) | U(1)
 
 
-def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int, family: int = 0) -> list[np.ndarray]:
     """Of each text the distinct fingerprints of its runs of width words, sorted."""
     w = words(texts, lower=True)
-    prints = w.prints()
-    prefix = sequences(prints)
+    prefix = sequences(w.prints(family), family)
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         at = np.arange(a, b - width + 1) if b - a >= width else np.arange(a, min(a + 1, b))
@@ -77,21 +76,32 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                sets = shingle_sets(column(piece, "text"), width)
-                keys = np.array([np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets]).reshape(-1, 2)
+                sets, again = (shingle_sets(column(piece, "text"), width, family) for family in (0, 1))
+                # the digest is over both families, and a set is as large as the family that tells more shingles apart says
+                held = [blake2b(s.tobytes() + t.tobytes(), digest_size=16).digest() for s, t in zip(sets, again)]
+                keys = np.frombuffer(b"".join(held), dtype=np.int64).reshape(-1, 2)
                 keyed = [bands(s) if len(s) else None for s in sets]
-                cols = [column(piece, "doc_id"), [len(s) for s in sets], keys[:, 0], keys[:, 1], keyed]
+                cols = [column(piece, "doc_id"), [max(len(s), len(t)) for s, t in zip(sets, again)], keys[:, 0], keys[:, 1], keyed]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema)], schema=schema)
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = sorted((len(x), len(y)))
+    if 100 * small < percent * large:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The rows of pairs (a, b) with 100 * intersection >= percent * union on full sets.
 
     Pairs of one a are dealt in chunks; a chunk gets the text of a once and
     then the texts of its partners, in a sorted stream, so memory holds one
-    set at a time however many pairs there are.
+    set at a time however many pairs there are. Sets are compared by two
+    families of fingerprints, and either must say so.
     """
     small_batches(pairs.sparkSession)
     chunked = written(
@@ -109,13 +119,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         for batch in batches:
             for piece in pieces(batch, "text"):
                 keep = []
-                for a, c, b, s in zip(*(column(piece, n).to_pylist() for n in ("a", "chunk", "b")), shingle_sets(column(piece, "text"), width)):
+                sets = zip(*(shingle_sets(column(piece, "text"), width, family) for family in (0, 1)))
+                for a, c, b, s in zip(*(column(piece, n).to_pylist() for n in ("a", "chunk", "b")), sets):
                     if b is None:
                         of, head = (a, c), (head if of == (a, c) else []) + [s]
                         continue
                     for h in head:
-                        both = len(np.intersect1d(h, s, assume_unique=True))
-                        if 100 * both >= percent * (len(h) + len(s) - both):
+                        if all(alike(x, y, percent) for x, y in zip(h, s)):
                             keep.append((a, b))
                             break
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in keep], pa.int64()) for i in (0, 1)], schema=schema)
@@ -126,7 +136,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 def with_partners(pairs: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), each with the number of partners of its a."""
     distinct = written(pairs.distinct(), "pairs")
-    return distinct.join(distinct.groupBy("a").agg(F.count("*").alias("partners")), "a")
+    # counted before, so that the join exchanges plain rows and a row of a with very many partners can be split
+    return distinct.join(written(distinct.groupBy("a").agg(F.count("*").alias("partners")), "partners"), "a")
 
 
 def prefixes(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -138,13 +149,17 @@ def prefixes(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
         for batch in batches:
             for piece in pieces(batch, "text"):
                 sets = shingle_sets(column(piece, "text"), width)
-                ids = np.repeat(np.asarray(column(piece, "id")), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], names=["rep", "shingle"])
+                size = [len(s) for s in sets]
+                ids, rows = (np.repeat(np.asarray(column(piece, c)), size) for c in ("id", "row"))
+                flat = np.concatenate(sets).view(np.int64) if sets else []
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, rows, flat)], names=["rep", "row", "shingle"])
 
-    each = written(texts.join(members.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(explode, "rep bigint, shingle bigint"), "shingles")
+    named = texts.withColumn("row", F.xxhash64("text"))
+    each = written(named.join(members.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(explode, "rep bigint, row bigint, shingle bigint"), "shingles")
     common = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(written(common, "common"), "shingle", "left").select("rep", "shingle", F.coalesce("df", F.lit(1)).alias("df"))
-    sets = ranked.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    ranked = each.join(written(common, "common"), "shingle", "left").select("rep", "row", "shingle", F.coalesce("df", F.lit(1)).alias("df"))
+    # rows of one id are sets of their own, and equal rows of it one set
+    sets = ranked.groupBy("rep", "row").agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("s"))
     size = F.size("s")
     take = size - F.ceil(size * percent / 100).cast("int") + 1
     each = sets.select("rep", size.alias("n"), F.posexplode(F.slice("s", 1, take)).alias("at", "e")).where("e.df > 1")
@@ -209,8 +224,7 @@ def op8_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are the smallest of their group, with all their columns."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return rows_by(docs, near_duplicates(docs).where("kept").select("doc_id"), "left_semi")
 
 
 QUERIES = {"op8_min_max_dedup": op8_min_max_dedup}
