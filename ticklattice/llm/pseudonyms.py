@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -20,7 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import column, pick, pieces, small_batches, table
 
-#: The key of the query; an application passes its own.
+#: Spark setting that holds the secret key of the query.
+KEY_SETTING = "spark.ticklattice.pseudonyms.key"
+#: Stands in where the setting is missing, as in tests: pseudonyms made with it can be reversed by anyone.
 KEY = b"ticklattice"
 ROUNDS = 8
 
@@ -30,16 +33,15 @@ def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
     network over two factors whose product is at least size, walked until it falls inside."""
     if size < 2:
         return value
-    a = max(2, int(size**0.5))
-    while a * a < size:
-        a += 1
+    a = max(2, math.isqrt(size - 1) + 1)
     b = -(-size // a)
+    wide = -(-(size.bit_length() // 2 + 64) // 8)  # bytes of a round's value: a half and 64 bits, so that the rest is even
     while True:
         left, right = divmod(value, b)
         for r in range(ROUNDS):
             mod, half = (a, right) if r % 2 == 0 else (b, left)
-            raw = hmac.new(key, b"%s|%d|%d|%d" % (tweak, size, r, half), hashlib.sha256).digest()
-            f = int.from_bytes(raw[:16], "big")
+            named = hmac.new(key, b"%s|%x|%x|%x" % (tweak, size, r, half), hashlib.sha256).digest()
+            f = int.from_bytes(hashlib.shake_256(named).digest(wide), "big")
             left, right = ((left + f) % mod, right) if r % 2 == 0 else (left, (right + f) % mod)
         value = left * b + right
         if value < size:
@@ -48,7 +50,15 @@ def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
 
 def digits(number: str, key: bytes, kind: str) -> str:
     """A string of digits permuted among those of its length."""
-    return str(permute(int(number), 10 ** len(number), key, kind.encode())).zfill(len(number)) if number else ""
+    if len(number) <= 4000:
+        return str(permute(int(number), 10 ** len(number), key, kind.encode())).zfill(len(number)) if number else ""
+    # longer than Python turns into a number: in parts, each with what stands before it as tweak
+    out, before = [], kind.encode()
+    for a in range(0, len(number), 4000):
+        part = number[a : a + 4000]
+        out.append(str(permute(int(part), 10 ** len(part), key, before)).zfill(len(part)))
+        before = hmac.new(key, before + part.encode(), hashlib.sha256).digest()
+    return "".join(out)
 
 
 def over(text: str, new: str, what: str = "0123456789") -> str:
@@ -153,23 +163,26 @@ def email(m: re.Match, key: bytes) -> str:
     local, host = m[0].split("@")
     low = "abcdefghijklmnopqrstuvwxyz"
     letters = [c for c in local.lower() if c in low]
-    value = 0
-    for c in letters:
-        value = value * 26 + low.index(c)
     shape = re.sub(r"[0-9]", "0", re.sub(r"[A-Za-z]", "a", local))
-    value = permute(value, 26 ** len(letters), key, f"mail{shape}@{host}".encode())
-    out = []
-    for _ in letters:
-        value, d = divmod(value, 26)
-        out.append(low[d])
-    new = over(local.lower(), "".join(reversed(out)), low)
+    tweak, out = f"mail{shape}@{host}".encode(), []
+    for a in range(0, len(letters), 512):  # parts of a bounded length, each with what stands before it as tweak
+        part, value, made = letters[a : a + 512], 0, []
+        for c in part:
+            value = value * 26 + low.index(c)
+        value = permute(value, 26 ** len(part), key, tweak)
+        for _ in part:
+            value, d = divmod(value, 26)
+            made.append(low[d])
+        out += reversed(made)
+        tweak = hmac.new(key, tweak + "".join(part).encode(), hashlib.sha256).digest()
+    new = over(local.lower(), "".join(out), low)
     new = over(new, digits(re.sub(r"\D", "", local), key, f"mail{shape}@{host}"))
     return "".join(n.upper() if o.isupper() and o.isascii() else n for o, n in zip(local, new)) + "@" + host
 
 
 #: In the order in which a place in the text is tried.
 KINDS: list[tuple[str, str, Callable]] = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", email),
+    ("email", r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", address),
     ("date", r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![\w]|[./-][0-9])", date),
@@ -211,7 +224,8 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """(doc_id, n_found, spans, text) for each row of docs (doc_id, text).
 
     spans: kind:start:end of what was replaced, in code points of the input,
-    comma-joined. A null text stays null with nothing found. Repeated rows
+    comma-joined. Who has the key can take pseudonyms back, so it must be
+    secret. A null text stays null with nothing found. Repeated rows
     give equal results, an empty table none; other columns are ignored.
     """
     small_batches(docs.sparkSession)
@@ -230,7 +244,8 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    key = spark.conf.get(KEY_SETTING, None)
+    return pseudonymise(table(spark, sf_dir, "documents"), key.encode() if key else KEY)
 
 
 QUERIES = {"op3_feistel_pseudonyms": op3_feistel_pseudonyms}
