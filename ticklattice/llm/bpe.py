@@ -21,6 +21,9 @@ CUT = 1 << 14
 #: Before a lone space that follows and precedes other characters every match
 #: of the pattern ends: no alternative goes on from a non-space to a space.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: A run of blanks too long for the pattern's engine to step back over. All of it but the last is one match
+#: of the pattern, and the last too where the text ends; nothing before it goes on into blanks.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 @lru_cache(maxsize=4)
@@ -43,10 +46,15 @@ def parts(text: str, cut: int = CUT) -> Iterator[str]:
 
 
 def encode(text: str, rank_file: str, cut: int = CUT) -> list[int]:
-    enc = encoding(rank_file)
-    if len(text) <= cut:
+    enc, ids, start = encoding(rank_file), [], 0
+    for run in BLANKS.finditer(text) if len(text) >= 4096 else ():
+        end = run.end() - (run.end() < len(text))
+        ids += [t for part in parts(text[start : run.start()], cut) for t in enc.encode_ordinary(part)]
+        ids += enc._encode_single_piece(text[run.start() : end])
+        start = end
+    if not start and len(text) <= cut:
         return enc.encode_ordinary(text)
-    return [t for part in parts(text, cut) for t in enc.encode_ordinary(part)]
+    return ids + [t for part in parts(text[start:], cut) for t in enc.encode_ordinary(part)]
 
 
 def decode(ids: list[int], rank_file: str) -> bytes:
