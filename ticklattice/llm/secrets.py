@@ -9,6 +9,9 @@ sample of documents that are no candidates, and the names of SQL functions.
 
 Positions of matches: splitting at a pattern and extracting its matches give
 the same leftmost, non-overlapping matches, so lengths add up to positions.
+Sums are taken in blocks of matches and then over the blocks, and each match
+is carried along, so no step looks at a text again from its start and the work
+grows with the text.
 """
 
 from __future__ import annotations
@@ -36,37 +39,55 @@ BACKOFF = 5.0
 #: Mean log-likelihood ratio a transition from which a token counts as a secret.
 THRESHOLD = 1.0
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+MATCHES = "cast(array() as array<struct<start:int,kind:int,end:int,t:string>>)"
+#: Matches whose lengths are summed in one go.
+BLOCK = 128
+#: Characters of a text that are rewritten in one go.
+SEGMENT = 4096
+
+
+def bound(value: str, name: str, body: str) -> str:
+    """SQL for body with value computed once and called name."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
 def matches(text: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> str:
-    """SQL for the spans of a pattern in a column; matches whose group is shorter than least are dropped."""
+    """SQL for the matches of a pattern in a column: array<struct<start, kind, end, t>>, t the match itself.
+
+    Matches whose group is shorter than least are dropped.
+    """
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    zipped = f"zip_with(slice(split({text}, '{p}', -1), 1, size(regexp_extract_all({text}, '{p}', 0))), regexp_extract_all({text}, '{p}', 0), (p, m) -> struct(length(p) as p, length(m) as m))"
-    if least:
-        zipped = f"zip_with({zipped}, regexp_extract_all({text}, '{p}', {group}), (x, g) -> struct(x.p as p, x.m as m, length(g) as g))"
-    else:
-        zipped = f"transform({zipped}, x -> struct(x.p as p, x.m as m, 0 as g))"
-    step = f"(a, x) -> struct(a.at + x.p + x.m as at, if(x.g >= {least}, concat(a.out, array(struct(a.at + x.p as start, {kind} as kind, a.at + x.p + x.m as end))), a.out) as out)"
-    return f"aggregate({zipped}, struct(0 as at, cast(array() as {SPAN}) as out), {step}, a -> a.out)"
+    lengths = f"transform(regexp_extract_all({text}, '{p}', {group}), g -> length(g))" if least else "transform(f, g -> 0)"
+    parts = f"zip_with(zip_with(slice(split({text}, '{p}', -1), 1, size(f)), f, (p, m) -> struct(length(p) as p, length(m) as m, m as t)), {lengths}, (x, g) -> struct(x.p as p, x.m as m, x.t as t, g))"
+    none = "cast(array() as array<struct<start:int,end:int,t:string,g:int>>)"
+    step = "(a, x) -> struct(a.at + x.p + x.m as at, concat(a.out, array(struct(a.at + x.p as start, a.at + x.p + x.m as end, x.t as t, x.g as g))) as out)"
+    number = f"cast(floor((size(f) - 1) / {BLOCK}) as int)"
+    blocks = f"transform(sequence(0, {number}), b -> aggregate(slice(q, b * {BLOCK} + 1, {BLOCK}), struct(0 as at, {none} as out), {step}))"
+    before = "aggregate(slice(w, 1, i), 0, (s, x) -> s + x.at)"
+    placed = f"flatten(transform(w, (b, i) -> {bound(before, 'o', f'transform(b.out, s -> struct(s.start + o as start, {kind} as kind, s.end + o as end, s.t as t, s.g as g))')}))"
+    chosen = f"filter({placed}, s -> s.g >= {least})" if least else placed
+    found = bound(f"regexp_extract_all({text}, '{p}', 0)", "f", f"if(size(f) = 0, {MATCHES}, {bound(parts, 'q', bound(blocks, 'w', f'transform({chosen}, s -> struct(s.start as start, s.kind as kind, s.end as end, s.t as t))'))})")
+    return found
+
+
+def spans_of(found: str) -> str:
+    return f"transform({found}, s -> struct(s.start as start, s.kind as kind, s.end as end))"
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
     """rows (…, text) with the spans of each pattern: s_assign, s_access, s_hex."""
     none = f"cast(array() as {SPAN})"
     return rows.withColumns({
-        "s_assign": F.expr(f"if(rlike(text, '(?i)password|passwd|secret|token|api_?key'), {matches('text', ASSIGN, 0, 2, 6)}, {none})"),
-        "s_access": F.expr(f"if(contains(text, 'AKIA'), {matches('text', ACCESS, 1)}, {none})"),
-        "s_hex": F.expr(f"if(rlike(text, '{HEX}'), {matches('text', HEX, 2)}, {none})"),
+        "s_assign": F.expr(f"if(rlike(text, '(?i)password|passwd|secret|token|api_?key'), {spans_of(matches('text', ASSIGN, 0, 2, 6))}, {none})"),
+        "s_access": F.expr(f"if(contains(text, 'AKIA'), {spans_of(matches('text', ACCESS, 1))}, {none})"),
+        "s_hex": F.expr(f"if(rlike(text, '{HEX}'), {spans_of(matches('text', HEX, 2))}, {none})"),
     })
 
 
-def cut(spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
-
-
 def transitions(rows: DataFrame, token: str) -> dict[tuple[str, str], int]:
     """Counts of adjacent characters in a column of tokens; at most one row for each pair of the alphabet."""
-    pairs = rows.select(F.explode(F.expr(f"transform(sequence(1, length({token}) - 1), i -> substr({token}, i, 2))")).alias("pair"))
+    chars = f"filter(split({token}, ''), c -> c <> '')"
+    pairs = rows.select(F.explode(F.expr(bound(chars, "c", "zip_with(slice(c, 1, greatest(size(c) - 1, 0)), slice(c, 2, greatest(size(c) - 1, 0)), (x, y) -> concat(x, y))"))).alias("pair"))
     return {(r["pair"][0], r["pair"][1]): r["n"] for r in pairs.groupBy("pair").agg(F.count("*").alias("n")).collect() if len(r["pair"]) == 2 and {*r["pair"]} <= {*ALPHABET}}
 
 
@@ -74,8 +95,8 @@ def log_ratios(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     """log P(next | char) under the model of random strings less that under ordinary ones, for each pair."""
     spark = docs.sparkSession
     ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    some = base_spans(docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text")))
-    held = some.select(F.explode(F.concat(cut(F.col("s_access")), cut(F.col("s_hex")))).alias("t"))
+    some = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
+    held = some.select(F.explode(F.concat(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (ACCESS, HEX)))).alias("t"))
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     made = spark.range(DIGESTS).select(F.explode(F.array(F.base64(digest), F.upper(F.substring(F.translate(F.base64(digest), "+/=", ""), 1, 20)), F.translate(F.base64(digest), "+/=", ""))).alias("t"))
     rest = some.select(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ").alias("text"))
@@ -95,13 +116,11 @@ def log_ratios(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
 
 def secret_spans(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """docs (…, text not null) with s_assign, s_access, s_hex and s_markov, the spans that the method adds."""
-    n = len(ALPHABET)
-    at = lambda i: f"instr('{ALPHABET}', substr(t, {i}, 1)) - 1"
-    mean = f"aggregate(sequence(1, length(t) - 1), 0D, (acc, i) -> acc + get(llr, ({at('i')}) * {n} + {at('i + 1')})) / (length(t) - 1)"
-    mean = mean.replace("substr(t,", "substr(substring(text, s.start + 1, s.end - s.start),").replace("length(t)", "(s.end - s.start)")
-    token = "substring(text, s.start + 1, s.end - s.start)"
+    codes = f"transform(filter(split(s.t, ''), c -> c <> ''), c -> instr('{ALPHABET}', c) - 1)"
+    size = "(size(c) - 1)"
+    mean = bound(codes, "c", f"aggregate(zip_with(slice(c, 1, {size}), slice(c, 2, {size}), (x, y) -> get(llr, x * {len(ALPHABET)} + y)), 0D, (sum, x) -> sum + x) / {size}")
     outside = "not exists(concat(s_assign, s_access, s_hex), b -> b.start < s.end and s.start < b.end)"
-    chosen = f"filter({matches('text', TOKEN, 3)}, s -> rlike({token}, '[0-9]') and rlike({token}, '[A-Za-z]') and {outside} and {mean} >= {threshold})"
+    chosen = spans_of(f"filter({matches('text', TOKEN, 3)}, s -> rlike(s.t, '[0-9]') and rlike(s.t, '[A-Za-z]') and {mean} >= {threshold} and {outside})")
     found = base_spans(docs)
     literal = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     found = found.withColumn("llr", literal)
@@ -134,15 +153,32 @@ def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret replaced by [secret]; n_chars follows the text."""
-    found = secret_spans(docs.withColumn("text", F.coalesce("text", F.lit(""))), log_ratios(pick(docs, doc_id="bigint", text="string")))
-    spans = F.array_sort(F.concat("s_assign", "s_access", "s_hex", "s_markov"))
-    step = """aggregate(spans, struct(0 as at, '' as out), (a, s) -> struct(greatest(a.at, s.end) as at,
-        if(s.start >= a.at, concat(a.out, substring(text, a.at + 1, s.start - a.at), '[secret]'), a.out) as out),
-        a -> concat(a.out, substring(text, a.at + 1)))"""
-    clean = found.withColumn("spans", spans).withColumn("clean", F.when(F.size("spans") > 0, F.expr(step)).otherwise(F.col("text")))
-    out = {"text": F.col("clean"), "n_chars": F.when(F.size("spans") > 0, F.length("clean").cast("bigint")).otherwise(F.col("n_chars"))}
-    return clean.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+    """All documents, every secret replaced by [secret]; n_chars, where there is one, follows the text. A null text stays null."""
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]  # the caller's names may be ours
+    text = inner[names.index("text")]
+    found = secret_spans(docs.toDF(*inner).withColumn("text", F.coalesce(text, F.lit(""))), log_ratios(pick(docs, doc_id="bigint", text="string")))
+    found = found.withColumn("spans", F.array_sort(F.concat("s_assign", "s_access", "s_hex", "s_markov")))
+    # spans that overlap or touch are one: first within blocks of them, then with what the blocks before reach over
+    none = "cast(array() as array<struct<begin:int,stop:int>>)"
+    step = """(a, s) -> if(size(a) > 0 and s.start <= element_at(a, -1).stop,
+        concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).begin as begin, greatest(element_at(a, -1).stop, s.end) as stop))),
+        concat(a, array(struct(s.start as begin, s.end as stop))))"""
+    blocks = f"transform(sequence(0, cast(floor((size(spans) - 1) / {BLOCK}) as int)), b -> aggregate(slice(spans, b * {BLOCK} + 1, {BLOCK}), {none}, {step}))"
+    reach = "aggregate(slice(w, 1, i), 0, (m, x) -> greatest(m, element_at(x, -1).stop))"
+    trimmed = bound(reach, "m", "transform(b, s -> struct(greatest(s.begin, m) as begin, s.stop as stop))")
+    merged = bound(blocks, "w", f"filter(flatten(transform(w, (b, i) -> {trimmed})), s -> s.begin < s.stop)")
+    found = found.withColumn("gone", F.expr(f"if(size(spans) = 0, {none}, {merged})"))
+    # in segments of the text, so that no piece is looked for from the text's start
+    prev = "if(i = 0, 0, here[i - 1].stop - o)"
+    pieces = f"transform(here, (s, i) -> concat(substring(g, {prev} + 1, greatest(s.begin - o, 0) - {prev}), if(s.begin >= o, '[secret]', '')))"
+    rest = f"substring(g, if(size(here) = 0, 0, element_at(here, -1).stop - o) + 1)"
+    segment = bound(f"filter(gone, s -> s.begin < o + {SEGMENT} and s.stop > o)", "here", f"concat(array_join({pieces}, ''), {rest})")
+    whole = f"array_join(transform(regexp_extract_all(text, '(?s).{{1,{SEGMENT}}}', 0), (g, k) -> {bound(f'k * {SEGMENT}', 'o', segment)}), '')"
+    clean = found.withColumn("clean", F.expr(f"if(size(gone) = 0, text, {whole})"))
+    hit = F.size("gone") > 0
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("bigint")}
+    return clean.select(*[(F.when(hit, new[n]).otherwise(F.col(c)) if n in new else F.col(c)).alias(n) for n, c in zip(names, inner)])
 
 
 QUERIES = {"op6_markov_secrets": op6_markov_secrets}
