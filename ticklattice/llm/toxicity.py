@@ -1,10 +1,12 @@
 """Toxicity by a subsequence string kernel machine (operator 9).
 
-Units are words, and runs of single characters set apart by spaces. The kernel
-of two units sums over their common subsequences of ORDER letters, each with
+Units are words, and runs of single characters set apart by spaces, of the
+letters of any script, with an edge on either side. The kernel of two units
+sums over their common subsequences of ORDER letters, each with
 at most GAPS letters skipped in all and weighted by DECAY for every skipped
 letter on either side, so spellings with inserted or spaced-out letters keep
-most of their similarity. Landmarks are units that explain the sentences
+most of their similarity; it is divided by the root of both self-similarities,
+so a unit has similarity one to itself and no more to any other. Landmarks are units that explain the sentences
 labelled toxic; the Nystrom map of the kernel on them turns a unit into a
 vector, on which a linear support vector machine is trained. A document's
 score is that of its most toxic unit, calibrated on labelled documents.
@@ -34,12 +36,19 @@ THRESHOLD = 0.3
 GAPPED = [g for g in product(range(GAPS + 1), repeat=ORDER - 1) if sum(g) <= GAPS]
 SENTENCE = re.compile(r"[.!?\n]+")
 
-#: Letters as numbers: a-z 1-26; accented letters by their code, 27-31; all else 0.
-_CODES = np.zeros(0x250, dtype=np.int32)
-for _c in range(0x250):
-    _l = chr(_c).lower()
-    if _l.isalpha() and len(_l) == 1:
-        _CODES[_c] = ord(_l) - 96 if "a" <= _l <= "z" else 27 + ord(_l) % 5
+#: Bits of a letter's number, and the number that stands before and after a unit.
+BITS, EDGE = 6, 63
+
+
+def _number(c: int) -> int:
+    """a-z: 1-26; every other letter of any script, in lower case: 27-62 by its code point; all else 0."""
+    low = chr(c).lower()[0]
+    if not low.isalpha():
+        return 0
+    return ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) * 0x9E3779B1 >> 7) % 36
+
+
+_CODES = np.array([_number(c) for c in range(0x110000)], dtype=np.int32)
 
 
 def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +57,7 @@ def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     lengths = np.array([len(t or "") + 1 for t in texts])
     doc = np.repeat(np.arange(len(texts)), lengths)[: len(flat)]
     space = (flat <= 32) | (flat == 0xA0)
-    code = np.where(flat < 0x250, _CODES[np.minimum(flat, 0x24F)], 0)
+    code = _CODES[flat]
     at = np.flatnonzero(~space)
     if not len(at):
         return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -61,7 +70,14 @@ def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     unit = (np.cumsum(~joins) - 1)[word]
     has = code[at] > 0
     unit_doc = of[~joins]
-    return code[at][has], unit[has], unit_doc
+    code, unit = code[at][has], unit[has]
+    # an edge on either side, so that short units have subsequences too
+    new = np.flatnonzero(np.diff(unit, prepend=-1, append=-1))
+    if len(unit):
+        new[-1] = len(unit)
+        twice = np.concatenate([new[:1], np.repeat(new[1:-1], 2), new[-1:]])
+        code, unit = np.insert(code, twice, EDGE), np.insert(unit, twice, unit[np.stack([new[:-1], new[1:] - 1], axis=1).ravel()])
+    return code, unit, unit_doc
 
 
 def features(code: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -74,20 +90,37 @@ def features(code: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarray, n
             continue
         value = code[:m]
         for s in steps[1:]:
-            value = (value << 5) | code[s : s + m]
+            value = (value << BITS) | code[s : s + m]
         inside = np.flatnonzero(unit[:m] == unit[steps[-1] : steps[-1] + m])
         yield value[inside], inside, DECAY ** sum(gaps)
 
 
-#: Self-similarity of a unit of so many letters whose subsequences all differ.
+#: Self-similarity of a unit of so many letters whose subsequences all differ: no unit of that length has less.
 _SELF = np.array([sum(max(0, n - ORDER + 1 - sum(g)) * DECAY ** (2 * sum(g)) for g in GAPPED) for n in range(64)])
 
 
-def own(size: np.ndarray) -> np.ndarray:
+def least_own(size: np.ndarray) -> np.ndarray:
     longest = len(_SELF) - 1
     return np.maximum(1e-9, _SELF[np.minimum(size, longest)] + (np.maximum(size, longest) - longest) * (_SELF[-1] - _SELF[-2]))
 
 
+def own(code: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
+    """Self-similarity of each of n units: equal subsequences add their weights before they are squared."""
+    values, at, weights = [], [], []
+    for value, inside, w in features(code, unit):
+        values.append(value.astype(np.int64))
+        at.append(unit[inside])
+        weights.append(np.full(len(inside), w))
+    if not values:
+        return np.full(n, 1e-9)
+    key = np.concatenate(at) << (BITS * ORDER) | np.concatenate(values)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    total = np.add.reduceat(np.concatenate(weights)[order], first) if len(first) else np.zeros(0)
+    return np.maximum(1e-9, np.bincount(key[first] >> (BITS * ORDER), total * total, minlength=n))
+
+
 class Kernel:
     """Similarities of units to fixed landmarks."""
 
@@ -98,17 +131,23 @@ class Kernel:
         for value, at, w in features(code, unit):
             for v, u in zip(value.tolist(), unit[at].tolist()):
                 weight[v, u] += w
-        known = sorted({v for v, _ in weight})
-        self.column = np.full(1 << (5 * ORDER), -1, dtype=np.int32)
-        self.column[known] = np.arange(len(known))
-        self.weights = np.zeros((len(known), len(landmarks)))
-        norm = np.sqrt(own(np.bincount(unit, minlength=len(landmarks))))
+        self.known = sorted({v for v, _ in weight})
+        place = {v: k for k, v in enumerate(self.known)}
+        self.weights = np.zeros((len(self.known), len(landmarks)))
+        norm = np.sqrt(own(code, unit, len(landmarks)))
         for (v, u), w in weight.items():
-            self.weights[self.column[v], u] += w / norm[u]
+            self.weights[place[v], u] += w / norm[u]
         self.most = self.weights.max(axis=1, initial=0)
+        self.column: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "column": None}  # made where it is used
 
     def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Units that may be as similar as FLOOR to a landmark: their number, similarities, and texts."""
+        if self.column is None:
+            self.column = np.full(1 << (BITS * ORDER), -1, dtype=np.int16 if len(self.known) < 1 << 15 else np.int32)
+            self.column[self.known] = np.arange(len(self.known))
         code, unit, unit_doc = letters(texts)
         if not len(code):
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks))), np.zeros(0, np.int64)
@@ -125,7 +164,7 @@ class Kernel:
         size = np.bincount(unit)
         # no similarity exceeds the sum of the largest weights
         most = np.bincount(u, w * self.most[c], minlength=len(size))
-        near = (most >= FLOOR * np.sqrt(own(size)))[u]
+        near = (most >= FLOOR * np.sqrt(least_own(size)))[u]
         u, c, w = u[near], c[near], w[near]
         if not len(u):
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks))), np.zeros(0, np.int64)
@@ -140,7 +179,10 @@ class Kernel:
             b = min(len(ids), a + step)
             part = slice(ends[a], ends[b])
             k[a:b] = np.add.reduceat(self.weights[c[part]] * w[part, None], first[a:b] - first[a], axis=0)
-        return ids, k / np.sqrt(own(size[ids]))[:, None], unit_doc[ids]
+        here = np.zeros(len(size), dtype=np.int64) - 1
+        here[ids] = np.arange(len(ids))
+        mine = here[unit] >= 0
+        return ids, k / np.sqrt(own(code[mine], here[unit][mine], len(ids)))[:, None], unit_doc[ids]
 
 
 def choose(rows: list[tuple[str, int]], most: int = LANDMARKS) -> list[str]:
@@ -154,7 +196,7 @@ def choose(rows: list[tuple[str, int]], most: int = LANDMARKS) -> list[str]:
     for k, t in enumerate(toxic):
         for sentence in SENTENCE.split(t.lower()):
             for u in {*sentence.split()}:
-                if ORDER <= len(u) <= 24 and clean[u] <= 0.002 * n_clean and (not (h := holds.setdefault(u, [])) or h[-1] != k):
+                if ORDER - 1 <= len(u) <= 24 and clean[u] <= 0.002 * n_clean and (not (h := holds.setdefault(u, [])) or h[-1] != k):
                     h.append(k)
     lack = np.full(len(toxic), 2)
     least = max(3, len(toxic) // 400)
@@ -277,7 +319,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, batch.schema.names[place], 1 << 20):
+            for piece in pieces(batch, place, 1 << 20):
                 found = model.scores(piece.column(place).to_pylist())
                 yield piece.filter(pa.array((found < THRESHOLD) | (model.fit is None)))
 
