@@ -1,10 +1,12 @@
 """Quality score from compressed sizes under two dictionaries (operator 7).
 
 One zstandard dictionary is built from texts labelled good and one from texts
-labelled bad, from every other text of a sample by hash. A text is cut into chunks, each compressed with either; the
-normalised difference of the sizes (of the whole text, and of its chunks that
-differ most) is calibrated to a probability by a logistic fit on labelled
-texts that are in neither dictionary.
+labelled bad, from every other text of a sample by hash. A text is cut into
+chunks, each compressed with either; the normalised differences of the sizes
+(between the dictionaries, of the whole text and of its chunks that differ
+most, and between the text itself and its size under the good dictionary) are
+calibrated to a probability by a logistic fit on labelled texts that are in
+neither dictionary.
 """
 
 from __future__ import annotations
@@ -117,8 +119,8 @@ def train(rows: list[tuple[str, int]]) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text).
 
-    Only the text is scored. A null text is empty, and an empty text has the
-    score of one whose sizes do not differ. Repeated rows give repeated
+    Only the text is scored. A null text is empty, and an empty text is scored
+    with all its differences and sizes zero. Repeated rows give repeated
     results; an empty table gives none; other columns are ignored.
     """
     small_batches(docs.sparkSession)
