@@ -2,28 +2,58 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import book, flow, lookback, serial
+from .operators import barriers, book, flow, live, lookback, serial
 from .plans import plain
-from .plans.dialect import needs, spark_sql
-from .plans.views import QUERIES as PLANS
-from .plans.views import VIEWS
-from .sources.events import mbo_from_events
+from .plans.dialect import needs, occurrences, spark_sql
+from .plans.folds import DEFAULT_GEOMETRIES
+from .plans.folds import QUERIES as FOLD_PLANS
+from .plans.folds import VIEWS as FOLD_VIEWS
+from .plans.views import DAY_NS, GEOMETRIES, HORIZON_DAYS, TICK
+from .plans.views import QUERIES as BOOK_PLANS
+from .plans.views import VIEWS as BOOK_VIEWS
+from .sources.events import mbo_from_events, read_days, write_days
+from .sources.shared import shared_path
 from .streaming.book import replayed_as_stream
 
+PLANS, VIEWS = BOOK_PLANS | FOLD_PLANS, BOOK_VIEWS | FOLD_VIEWS
+#: Views that cost a replay or a fold: written once where a plan reads them more than once.
+COSTLY = {"book", "flow", "outcomes", "outcomes_all", "tokens", "trades", "contexts", "fold_trades"}
+#: What the operators read that stand in for a view's SQL.
+_BEHIND = {
+    "book": "{mbo}", "levels": "{book}", "flow": "{book}", "lob_window": "{book}", "stream_commits": "{mbo}", "trades": "{candidates}",
+    "outcomes": "{barrier_ticks}", "outcomes_all": "{barrier_ticks}", "lob_sums": "{book}", "slots": "{tokens_of}",
+}
+
 
 class Frames:
-    """The views of one event log, each built once."""
+    """The views of one event log for one query, each built once; the costly ones are written if they are read again."""
 
-    def __init__(self, spark: SparkSession, mbo: DataFrame):
+    def __init__(self, spark: SparkSession, mbo: DataFrame, sql: str):
         self.spark, self.made = spark, {"mbo": mbo}
+        self.reads = Counter()
+        self._count(sql, 2 if sql.lstrip().startswith("with ") else 1)
+
+    def _count(self, sql: str, times: int) -> None:
+        for name, n in occurrences(sql).items():
+            known = name in self.reads
+            self.reads[name] += n * times
+            if name not in COSTLY or not known:
+                self._count(_BEHIND.get(name, VIEWS.get(name, "")), 1 if name in COSTLY else n * times)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.made:
-            self.made[name] = getattr(self, f"_{name}")() if hasattr(self, f"_{name}") else self.plan(VIEWS[name])
+            made = getattr(self, f"_{name}")() if hasattr(self, f"_{name}") else self.plan(VIEWS[name])
+            if name in COSTLY and self.reads[name] > 1:
+                path = shared_path(self.spark, name)
+                made.write.parquet(path)
+                made = self.spark.read.schema(made.schema).parquet(path)
+            self.made[name] = made
         return self.made[name]
 
     def plan(self, sql: str) -> DataFrame:
@@ -33,17 +63,42 @@ class Frames:
         return self.spark.sql(spark_sql(sql), **{n: self[n] for n in names})
 
     def _book(self) -> DataFrame:
-        return book.replay(self["mbo"])
+        return book.replay(self["mbo"], tops=any(self.reads[n] for n in ("levels", "lob_sums")))
 
     def _levels(self) -> DataFrame:
         return book.levels(self["book"])
 
     def _flow(self) -> DataFrame:
-        return flow.flow_states(self["book"], self["ofi"])
+        return flow.flow_states(self["book"])
 
     def _lob_window(self) -> DataFrame:
         return lookback.lookback_features(self["book"])
 
+    def _lob_sums(self) -> DataFrame:
+        """Sums over the recorded levels of a commit, from its own arrays."""
+        out = ["instrument_id", "seq", "case when bid is not null and ask is not null then (ask - bid) / 1e9 else 0e0 end as spread", "n_bids", "n_asks"]
+        for s, col, name in (("b", "bids", "bid"), ("a", "asks", "ask")):
+            out += [f"aggregate(slice({col}, 1, {k}), 0L, (t, l) -> t + l.size) as {s}{k}" for k in (1, 3, 5, 10)]
+            for n, kind, x in (("w", "0D", "l.size / (i + 1D)"), ("sq", "0L", "l.size * l.size"), ("xy", "0L", "i * l.size"), ("x", "0L", "bigint(i)"), ("xx", "0L", "bigint(i * i)")):
+                out.append(f"aggregate(transform({col}, (l, i) -> {x}), {kind}, (t, v) -> t + v) as {s}{n}")
+            out += [f"coalesce(get({col}, {k}).size, 0L) as {name}_size_{k}" for k in range(10)]
+        return self["book"].where("is_commit = 1").selectExpr(*out)
+
+    def _slots(self) -> DataFrame:
+        """The tokens of an event from one array of slots."""
+        slot = lambda n, token: f"struct({n} as slot, {token} as token)"
+        whole = ", ".join(slot(k, c) for k, c in ((2, "t_side"), (3, "t_price"), (4, "t_size")))
+        parts = f"""concat(if(seq = first_seq, array({slot(0, 1)}), array()), if(t_action is not null, array({slot(1, 't_action')}), array()),
+            if(t_action between 4 and 8, array({whole}), array()), if(t_action is not null and is_commit = 1, array({slot(5, 3)}), array()), if(seq = last_seq, array({slot(6, 2)}), array()))"""
+        rows = self["tokens_of"].selectExpr("*", "min(seq) over (partition by instrument_id) as first_seq", "max(seq) over (partition by instrument_id) as last_seq")
+        return rows.selectExpr("instrument_id", "seq", f"explode({parts}) as s").selectExpr("instrument_id", "seq", "s.slot", "s.token")
+
+    def _outcomes(self) -> DataFrame:
+        return barriers.barrier_labels(self["barrier_ticks"], list(GEOMETRIES), HORIZON_DAYS * DAY_NS, TICK)
+
+    def _outcomes_all(self) -> DataFrame:
+        return barriers.barrier_labels(self["barrier_ticks"], barriers.parse_geometries(DEFAULT_GEOMETRIES), HORIZON_DAYS * DAY_NS, TICK)
+
     def _stream_commits(self) -> DataFrame:
         return replayed_as_stream(self["mbo"])
 
@@ -54,8 +109,28 @@ class Frames:
 
 
 def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: Frames(spark, mbo_from_events(spark, sf_dir)).plan(sql)
+    return lambda spark, sf_dir: Frames(spark, mbo_from_events(spark, sf_dir), sql).plan(sql)
+
+
+def _live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as messages of parallel arrays, and the events made of them again."""
+    frames = Frames(spark, mbo_from_events(spark, sf_dir), "{feed} {order_numbers}")
+    return live.live_events(frames["feed"], frames["order_numbers"])
+
+
+def _exported_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export written as day files and read back, filters and columns by pushdown."""
+    sql = PLANS["event_export"]
+    path = shared_path(spark, "export")
+    rows = Frames(spark, mbo_from_events(spark, sf_dir), sql).plan(sql)
+    write_days(rows.withColumn("date", F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")), "yyyyMMdd").cast("int")), path)
+    back = read_days(spark, path)
+    count = lambda c: F.sum(c.cast("int")).cast("bigint")
+    resolved = F.col("outcome") >= 0
+    imbalanced = resolved & (F.abs("ofi_fast") > 2) & (F.col("target_ticks") == 2) & (F.col("stop_ticks") == 1)
+    return back.groupBy("day").agg(F.count("*").alias("n"), count(resolved).alias("resolved"), count(imbalanced).alias("imbalanced"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(sql) for name, sql in PLANS.items()}
+QUERIES |= {"live_events": _live_events, "exported_days": _exported_days}
 ORACLES: dict[str, str] = {name: plain.query(sql) for name, sql in PLANS.items()}

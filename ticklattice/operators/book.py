@@ -11,17 +11,19 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..sources.events import F_LAST
 
 DEPTH = 10
 LEVEL = "array<struct<price_fp:bigint,size:bigint>>"
+EVENT = ["instrument_id", "seq", "ts_ns", "order_id", "action", "side", "price_fp", "size"]
 BOOK_SCHEMA = (
     "instrument_id bigint, seq bigint, ts_ns bigint, order_id bigint, action string, side string, price_fp bigint, size bigint, "
-    f"is_commit int, pre_bid bigint, pre_ask bigint, bid bigint, ask bigint, bid_size bigint, ask_size bigint, n_bids int, n_asks int, bids {LEVEL}, asks {LEVEL}"
+    "is_commit int, pre_bid bigint, pre_ask bigint, bid bigint, ask bigint, bid_size bigint, ask_size bigint, n_bids int, n_asks int"
 )
+TOPS = f", bids {LEVEL}, asks {LEVEL}"
 
 
 class Side:
@@ -52,8 +54,27 @@ class Side:
         price = self.sign * self.keys[-1]
         return price, self.sizes[price]
 
-    def top(self) -> list[dict]:
-        return [{"price_fp": self.sign * k, "size": self.sizes[self.sign * k]} for k in self.keys[: -DEPTH - 1 : -1]]
+    def top(self) -> list[int]:
+        """The best prices, best first."""
+        return [self.sign * k for k in self.keys[: -DEPTH - 1 : -1]]
+
+
+class Tops:
+    """The recorded levels of one side, as columns: where each list begins, prices, sizes."""
+
+    def __init__(self) -> None:
+        self.begin, self.prices, self.sizes = [], [], []
+
+    def add(self, side: Side | None) -> None:
+        self.begin.append(None if side is None else len(self.prices))
+        if side is not None:
+            top = side.top()
+            self.prices += top
+            self.sizes += [side.sizes[p] for p in top]
+
+    def array(self) -> pa.Array:
+        levels = pa.StructArray.from_arrays([pa.array(self.prices, pa.int64()), pa.array(self.sizes, pa.int64())], names=["price_fp", "size"])
+        return pa.ListArray.from_arrays(pa.array([*self.begin, len(self.prices)], pa.int32()), levels)
 
 
 class Book:
@@ -103,31 +124,37 @@ class Book:
             self.clear()
 
 
-def replay(mbo: DataFrame) -> DataFrame:
-    """Every event with the best prices before and after it, and the top levels at commits."""
+def replay(mbo: DataFrame, tops: bool = True) -> DataFrame:
+    """Every event with the best prices before and after it, and, if tops, the best levels at commits.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The event's own columns pass through as they are; only what the book adds is built, by columns.
+    """
+    names = [c.split(" ")[0] for c in BOOK_SCHEMA.split(", ")]
+    types = [pa.int32()] + [pa.int64()] * 6 + [pa.int32()] * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, book = None, Book()
-        for pdf in batches:
-            out = []
-            for inst, seq, ts, order, action, side, price, size, flags in zip(*(pdf[c].tolist() for c in ("instrument_id", "seq", "ts_ns", "order_id", "action", "side", "price_fp", "size", "flags"))):
+        for batch in batches:
+            made: list[list] = [[] for _ in types]
+            sides = Tops(), Tops()
+            for inst, order, action, side, price, size, flags in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5, 6, 7, 8))):
                 if inst != now:
                     now, book = inst, Book()
-                bids, asks = book.sides["B"], book.sides["A"]
-                pre = bids.best()[0], asks.best()[0]
+                pre_bid, pre_ask = book.sides["B"].best()[0], book.sides["A"].best()[0]
                 book.apply(action, order, side, price, size)
                 bids, asks = book.sides["B"], book.sides["A"]
                 (bid, bid_size), (ask, ask_size) = bids.best(), asks.best()
-                commit = int(flags & F_LAST != 0)
-                out.append((inst, seq, ts, order, action, side, price, size, commit, *pre, bid, ask, bid_size, ask_size, min(DEPTH, len(bids.keys)), min(DEPTH, len(asks.keys)), bids.top() if commit else None, asks.top() if commit else None))
-            names = [c.split(" ")[0] for c in BOOK_SCHEMA.split(", ")]
-            frame = pd.DataFrame(out, columns=names)
-            for c in ("pre_bid", "pre_ask", "bid", "ask"):
-                frame[c] = pd.array([r[names.index(c)] for r in out], dtype="Int64")
-            yield frame
-
-    dealt = mbo.repartition("instrument_id").sortWithinPartitions("instrument_id", "seq")
-    return dealt.mapInPandas(run, BOOK_SCHEMA)
+                commit = flags & F_LAST != 0
+                for column, value in zip(made, (int(commit), pre_bid, pre_ask, bid, ask, bid_size, ask_size, min(DEPTH, len(bids.keys)), min(DEPTH, len(asks.keys)))):
+                    column.append(value)
+                if tops:
+                    sides[0].add(bids if commit else None)
+                    sides[1].add(asks if commit else None)
+            columns = [batch.column(k) for k in range(8)] + [pa.array(c, t) for c, t in zip(made, types)]
+            yield pa.RecordBatch.from_arrays(columns + [s.array() for s in sides if tops], names=names + ["bids", "asks"] * tops)
+
+    dealt = mbo.select(*EVENT, "flags").repartition("instrument_id").sortWithinPartitions("instrument_id", "seq")
+    return dealt.mapInArrow(run, BOOK_SCHEMA + TOPS * tops)
 
 
 def levels(book: DataFrame) -> DataFrame:

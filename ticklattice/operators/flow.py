@@ -1,11 +1,18 @@
-"""Order-flow state at every commit: averages of trades, adds, cancels and queue imbalance."""
+"""Order-flow state at every commit: averages of trades, adds, cancels and queue imbalance.
+
+An average counts updates, not time: it decays by half over its half-life in
+updates of its own and then takes the new value. All of them go on in one fold
+over the events of an instrument, which hold only what they are now.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .ema import SCALES, ema
+from .ema import SCALES
 
 #: Of each average: when an event updates it, and by what.
 EVENT_FLOWS = {
@@ -18,24 +25,62 @@ EVENT_FLOWS = {
     "trade_intensity": ("action = 'T'", "1"),
 }
 NAMES = [f"{f}_{s}" for f in [*EVENT_FLOWS, "ofi"] for s in SCALES]
+FLOW_SCHEMA = "instrument_id bigint, seq bigint, ts_ns bigint, " + ", ".join(f"{n} double" for n in NAMES) + ", inter_event_time_ns bigint, event_rate double"
+
+_FLOWS = list(EVENT_FLOWS)
+_OFI, _EVERY, _TRADES = len(_FLOWS), _FLOWS.index("event_intensity"), _FLOWS.index("trade_intensity")
+_BY_ACTION = {("C", True): "cancel_bid", ("C", False): "cancel_ask", ("A", True): "add_bid", ("A", False): "add_ask"}
+_DECAY = [2.0 ** (-1 / h) for h in SCALES.values()]
+
+
+def queue_change(now: int | None, size: int, before: int | None, size_before: int) -> int:
+    """Of one side: what its best queue gained since the last commit; a higher price counts as improved on either side."""
+    if now is None:
+        return 0 if before is None else -size_before
+    if before is None or now > before:
+        return size
+    return size - size_before if now == before else -size_before
+
+
+def flow_states(book: DataFrame) -> DataFrame:
+    """Every commit with its averages, the time between events and the event rate.
+
+    The averages of the queue imbalance count the commits where it is not zero.
+    The time between events stays as it was where the clock goes back.
+    """
+    kept = ["instrument_id", "seq", "ts_ns", "action", "side", "size", "is_commit", "bid", "ask", "bid_size", "ask_size"]
+    names = [c.split(" ")[0] for c in FLOW_SCHEMA.split(", ")]
+    schema = pa.schema([(n, pa.float64() if n in NAMES or n == "event_rate" else pa.int64()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, values, last, dt, best = None, [], None, 0, (None, 0, None, 0)
+        scales = range(len(_DECAY))
+
+        def update(flow: int, x: float) -> None:
+            for k in scales:
+                values[flow * len(_DECAY) + k] = values[flow * len(_DECAY) + k] * _DECAY[k] + x
 
+        for batch in batches:
+            out = []
+            for inst, seq, ts, action, side, size, commit, bid, ask, bid_size, ask_size in zip(*(c.to_pylist() for c in batch.columns)):
+                if inst != of:
+                    of, values, last, dt, best = inst, [0.0] * len(NAMES), None, 0, (None, 0, None, 0)
+                if last is not None and ts >= last:
+                    dt = ts - last
+                last = ts
+                update(_EVERY, 1.0)
+                if action in ("T", "F"):
+                    update(0, size if side == "B" else -size)
+                    if action == "T":
+                        update(_TRADES, 1.0)
+                elif (action, side == "B") in _BY_ACTION:
+                    update(_FLOWS.index(_BY_ACTION[action, side == "B"]), size)
+                if commit:
+                    ofi = queue_change(bid, bid_size, best[0], best[1]) - queue_change(ask, ask_size, best[2], best[3])
+                    if ofi:
+                        update(_OFI, ofi)
+                    best = bid, bid_size, ask, ask_size
+                    out.append((inst, seq, ts, *values, dt, 1e9 / dt if dt > 0 else 0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(names), schema)], schema=schema)
 
-def event_flows(book: DataFrame) -> DataFrame:
-    """Every commit with its event averages, inter-event time and event rate."""
-    rows = book.select("instrument_id", "seq", "ts_ns", "action", "side", "size", "is_commit")
-    for name, (when, value) in EVENT_FLOWS.items():
-        for scale, half_life in SCALES.items():
-            rows = ema(rows, f"{name}_{scale}", F.expr(when), F.expr(value), half_life)
-    dt = """last_value(case when ts_ns >= before then ts_ns - before end) ignore nulls over (partition by instrument_id order by seq)"""
-    rows = rows.withColumn("before", F.expr("lag(ts_ns) over (partition by instrument_id order by seq)"))
-    rows = rows.withColumn("inter_event_time_ns", F.expr(f"coalesce({dt}, 0)"))
-    rows = rows.withColumn("event_rate", F.expr("case when inter_event_time_ns > 0 then 1e9 / inter_event_time_ns else 0e0 end"))
-    return rows.where("is_commit = 1").drop("before", "is_commit", "action", "side", "size")
-
-
-def flow_states(book: DataFrame, ofi: DataFrame) -> DataFrame:
-    """event_flows with the averages of ofi (instrument_id, seq, ofi), which count commits where it is not zero."""
-    rows = ofi.select("instrument_id", "seq", "ofi")
-    for scale, half_life in SCALES.items():
-        rows = ema(rows, f"ofi_{scale}", F.col("ofi") != 0, F.col("ofi"), half_life)
-    return event_flows(book).join(rows.drop("ofi"), ["instrument_id", "seq"])
+    return book.select(*kept).repartition("instrument_id").sortWithinPartitions("instrument_id", "seq").mapInArrow(run, FLOW_SCHEMA)

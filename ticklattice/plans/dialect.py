@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 _SPARK = [(r"LASTV\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"last_value(\1) ignore nulls"), (r"FIRSTV\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"first_value(\1) ignore nulls"), (r"IDIV\(([^,()]*(?:\([^()]*\)[^,()]*)*),([^()]*)\)", r"((\1) div (\2))"), (r"SERIES\((\w+),(\w+)\)", r"(select explode(sequence(\1, \2)) as i)")]
 _PLAIN = [(r"LASTV\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"last_value(\1 ignore nulls)"), (r"FIRSTV\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"first_value(\1 ignore nulls)"), (r"IDIV\(([^,()]*(?:\([^()]*\)[^,()]*)*),([^()]*)\)", r"((\1) // (\2))"), (r"SERIES\((\w+),(\w+)\)", r"(select unnest(generate_series(\1, \2)) as i)")]
 _NAME = re.compile(r"\{(\w+)\}")
 
 
+def occurrences(sql: str) -> Counter:
+    return Counter(_NAME.findall(sql))
+
+
 def needs(sql: str) -> list[str]:
     return list(dict.fromkeys(_NAME.findall(sql)))
 

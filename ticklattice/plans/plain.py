@@ -5,7 +5,10 @@ from __future__ import annotations
 from ..operators.ema import SCALES
 from ..operators.flow import EVENT_FLOWS
 from .dialect import needs, plain_sql
-from .views import VIEWS
+from .folds import VIEWS as FOLD_VIEWS
+from .views import VIEWS as BOOK_VIEWS
+
+VIEWS = BOOK_VIEWS | FOLD_VIEWS
 
 _NAIVE = ", ".join(
     f"sum(case when {when} then ({value}) * pow(2, u_{name} / {h}e0) else 0 end) over w * pow(2, -u_{name} / {h}e0) as {name}_{scale}"
@@ -67,8 +70,12 @@ def query(sql: str) -> str:
         if name not in wanted:
             wanted.add(name)
             todo += needs(VIEWS[name]) if name in VIEWS else _BEHIND.get(name, [])
-    parts = [f"{n} as {'materialized ' if n in ('book', 'live', 'flow', 'outcomes', 'tokens') else ''}({plain_sql(VIEWS[n]) if n in VIEWS else BASE[n]})" for n in _ORDER if n in wanted]
+    order = [*_ORDER, *(n for n in FOLD_VIEWS if n not in _ORDER)]
+    materialized = ("book", "live", "flow", "outcomes", "outcomes_all", "tokens", "contexts")
+    parts = [f"{n} as {'materialized ' if n in materialized else ''}({plain_sql(VIEWS[n]) if n in VIEWS else BASE[n]})" for n in order if n in wanted]
     body = plain_sql(sql).strip()
+    if not parts:
+        return body
     if body.startswith("with "):
         return "with recursive " + ",\n".join([*parts, body[5:]])
     return "with recursive " + ",\n".join(parts) + "\n" + body

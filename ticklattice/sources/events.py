@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The last-of-batch bit of flags.
@@ -33,13 +33,28 @@ def mbo_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PROJECTION, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def read_mbo(spark: SparkSession, path: str) -> DataFrame:
-    """Day files of market-by-order events; the date comes from a stem YYYYMMDD or YYYY-MM-DD, with or without -events."""
-    rows = spark.read.option("ignoreCorruptFiles", "true").schema(MBO_SCHEMA).parquet(path)
-    stem = F.regexp_extract(F.input_file_name(), r"(\d{4}-?\d{2}-?\d{2})(?:-events)?\.parquet$", 1)
-    return rows.withColumn("date", F.replace(stem, F.lit("-"), F.lit("")).cast("int")).where("date between 19000101 and 20991231")
+def _dated() -> Column:
+    """The date in the stem of a file: YYYYMMDD or YYYY-MM-DD, with or without -events, or a folder date=YYYYMMDD."""
+    stem = F.regexp_extract(F.input_file_name(), r"(\d{4}-?\d{2}-?\d{2})(?:-events)?(?:\.parquet$|/)", 1)
+    return F.replace(stem, F.lit("-"), F.lit("")).try_cast("int")
+
+
+def read_mbo(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
+    """Day files of market-by-order events with the date of their stem; others are passed over. Broken files fail unless skip_corrupt."""
+    rows = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).schema(MBO_SCHEMA).parquet(path)
+    return rows.withColumn("date", _dated()).where("date between 19000101 and 20991231")
 
 
 def write_days(rows: DataFrame, path: str) -> None:
     """One zstd Parquet partition for each date."""
     rows.repartition("date").write.mode("overwrite").partitionBy("date").option("compression", "zstd").parquet(path)
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """What write_days wrote; a filter on the date prunes folders, others reach the files."""
+    return spark.read.parquet(path).where("date between 19000101 and 20991231")
+
+
+def day_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(date, n) of day files in order of date, counted from their footers."""
+    return read_days(spark, path).groupBy("date").agg(F.count("*").alias("n")).orderBy("date")
