@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import barriers, book, flow, live, lookback, serial
+from .operators import barriers, book, flow, live, lookback, serial, training
 from .plans import plain
 from .plans.dialect import needs, occurrences, spark_sql
 from .plans.folds import DEFAULT_GEOMETRIES
 from .plans.folds import QUERIES as FOLD_PLANS
 from .plans.folds import VIEWS as FOLD_VIEWS
 from .plans.views import DAY_NS, GEOMETRIES, HORIZON_DAYS, TICK
+from .plans.views import _NAME as TOKEN_NAME
 from .plans.views import QUERIES as BOOK_PLANS
 from .plans.views import VIEWS as BOOK_VIEWS
+from .sources import tokens, trees
 from .sources.events import mbo_from_events, read_days, write_days
 from .sources.shared import shared_path
 from .streaming.book import replayed_as_stream
@@ -131,6 +134,42 @@ def _exported_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("day").agg(F.count("*").alias("n"), count(resolved).alias("resolved"), count(imbalanced).alias("imbalanced"))
 
 
+#: The features of the tree model below, and the model as its file has it.
+TREE_FEATURES = ["ofi_fast", "event_rate", "trade_flow_fast", "cancel_bid_fast"]
+TREES = json.dumps({"learner": {"learner_model_param": {"base_score": "5E-1", "num_feature": "4"}, "gradient_booster": {"model": {"trees": [
+    {"left_children": [1, 3, 5, -1, -1, -1, -1], "right_children": [2, 4, 6, -1, -1, -1, -1], "split_indices": [0, 1, 2, 0, 0, 0, 0], "split_conditions": [0.0, 1e-5, 2.0, 0, 0, 0, 0], "default_left": [0] * 7, "base_weights": [0, 0, 0, -0.3, -0.1, 0.05, 0.4]},
+    {"left_children": [1, -1, -1], "right_children": [2, -1, -1], "split_indices": [3, 0, 0], "split_conditions": [3.0, 0, 0], "default_left": [0] * 3, "base_weights": [0, 0.1, -0.2]},
+]}}}})
+
+
+def _tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flow_rows = Frames(spark, mbo_from_events(spark, sf_dir), "{flow}")["flow"]
+    p = trees.probability(trees.parse_trees(TREES), [F.col(c) for c in TREE_FEATURES])
+    return flow_rows.select("instrument_id", "seq", F.round(p, 6).alias("p"))
+
+
+FEATURES = [f"{f}_{s}" for f in ("ofi", "trade_flow", "cancel_bid", "cancel_ask", "add_bid", "add_ask") for s in ("fast", "med")]
+
+
+def _fold_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the last fold's test rows by trees trained on its training days."""
+    sql = "with x as (select 1) {outcomes} {flow} {roles}"
+    frames = Frames(spark, mbo_from_events(spark, sf_dir), sql)
+    labelled = frames["outcomes"].where("outcome >= 0").selectExpr("instrument_id", "seq", "target_ticks", "stop_ticks", "outcome as label", f"cast(floor(ts_ns / {DAY_NS}e0) as bigint) as day")
+    rows = labelled.join(frames["flow"].select("instrument_id", "seq", *FEATURES), ["instrument_id", "seq"])
+    found = training.fold_predictions(rows, frames["roles"], [*FEATURES, "target_ticks", "stop_ticks"], [14])
+    return found.select("split", "instrument_id", "seq", "target_ticks", "stop_ticks", "label", "p")
+
+
+def _token_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Frames(spark, mbo_from_events(spark, sf_dir), "{tokens}")["tokens"]
+    return tokens.text_lines(found, F.expr(TOKEN_NAME))
+
+
+_TOKEN_TEXT = plain.query(f"""select instrument_id, line, string_agg(name, ' ' order by pos) as text from (
+ select instrument_id, pos, {TOKEN_NAME} as name, cast(coalesce(sum(case when token in (1, 2, 3) then 1 else 0 end) over (partition by instrument_id order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as line from {{tokens}}) a group by instrument_id, line""")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(sql) for name, sql in PLANS.items()}
-QUERIES |= {"live_events": _live_events, "exported_days": _exported_days}
+QUERIES |= {"live_events": _live_events, "exported_days": _exported_days, "tree_score": _tree_score, "token_text": _token_text, "fold_training": _fold_training}
 ORACLES: dict[str, str] = {name: plain.query(sql) for name, sql in PLANS.items()}
+ORACLES["token_text"] = _TOKEN_TEXT

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 def load_trees(spark: SparkSession, path: str) -> dict:
     """{"base": logit of the base score, "trees": [...]} from a JSON model; ValueError for anything else."""
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    return parse_trees("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()), path)
+
+
+def parse_trees(text: str, path: str = "the text") -> dict:
     try:
         learner = json.loads(text)["learner"]
         trees = learner["gradient_booster"]["model"]["trees"]
