@@ -287,7 +287,6 @@ QUERIES: dict[str, str] = {
     "price_histogram": "select token - 64 as ticks, count(*) as n from {tokens} where token between 13 and 116 group by token - 64",
     "commit_positions": "select instrument_id, pos from {tokens} where token = 3",
     "temporal_split": "select instrument_id, training, count(*) as n, min(pos) as first_pos, max(pos) as last_pos from {halves} group by instrument_id, training",
-    "token_windows": "select s.instrument_id, s.start_pos, count(*) as n, sum(cast(t.token as bigint) * (t.pos - s.start_pos + 1)) as checksum from (select instrument_id, pos as start_pos from {tokens} where pos % 64 = 0) s join {tokens} t on t.instrument_id = s.instrument_id and IDIV(t.pos,64) - IDIV(s.start_pos,64) in (0, 1) and t.pos < s.start_pos + 128 group by s.instrument_id, s.start_pos having count(*) = 128",
     "direction_targets": """select instrument_id, seq, case when next_at is null or next_at - commit_no > 2000 then -1 when next_level > level then 1 else 0 end as direction from (
  select instrument_id, seq, commit_no, level, FIRSTV(case when moved then commit_no end) over f as next_at, FIRSTV(case when moved then level end) over f as next_level from (
   select instrument_id, seq, commit_no, bid + ask as level, bid + ask <> lag(bid + ask) over (partition by instrument_id order by seq) as moved from {commits} where bid is not null and ask is not null) a
@@ -300,10 +299,6 @@ QUERIES: dict[str, str] = {
     "markov_by_class": _markov(1, True),
     "cpcv_groups": "select day, day_no, n, cast(row_start as bigint) as row_start, cast(row_end as bigint) as row_end, cast(grp as int) as grp from {days}",
     "cpcv_splits": "select cast(s.split as int) as split, d.day, case when d.grp in (s.g1, s.g2) then 1 else 0 end as test from {splits} s cross join {days} d",
-    # training days within one day of a test day are purged or embargoed
-    "cpcv_purge": """with t as (select s.split, d.day, d.day_no, case when d.grp in (s.g1, s.g2) then 1 else 0 end as test from {splits} s cross join {days} d)
-select cast(split as int) as split, day, case when test = 1 then 'test' when max(test) over (partition by split order by day_no rows between 1 preceding and 1 following) = 1 then 'excluded' else 'train' end as role from t""",
-    "cpcv_inner_validation": "select cast(split as int) as split, day, case when row_number() over (partition by split order by day_no) > floor(count(*) over (partition by split) * 4 / 5e0) then 1 else 0 end as validation from (select s.split, d.day, d.day_no from {splits} s cross join {days} d where d.grp not in (s.g1, s.g2)) a",
     "cpcv_token_ranges": """with n as (select cast(floor(count(*) / 6e0) as bigint) as per from {tokens}),
 g as (select i as grp, i * per as s, (i + 1) * per as e from SERIES(0,5) x cross join n)
 select cast(p.split as int) as split, cast(g.grp as int) as grp, case when g.grp in (g1, g2) then 'test' else 'train' end as role,
@@ -327,7 +322,6 @@ select target_ticks, stop_ticks, round(q, 5) as q, round(1 - ({_CDF}), 5) as p_v
     "execution_costs": "select instrument_id, seq, round(2 * (0.62e0 + 1 / 2e0 * 1.25e0), 6) as fixed_round_trip, round(2 * (0.62e0 + spread / 0.25e0 / 2e0 * 1.25e0), 6) as empirical_round_trip from {commits} where bid is not null and ask is not null",
     "tree_score": "select instrument_id, seq, round(1 / (1 + exp(-(m1 + m2))), 6) as p from (select instrument_id, seq, case when ofi_fast < 0e0 then case when event_rate < 1e-5 then -0.3e0 else -0.1e0 end else case when trade_flow_fast < 2e0 then 0.05e0 else 0.4e0 end end as m1, case when cancel_bid_fast < 3e0 then 0.1e0 else -0.2e0 end as m2 from {flow}) a",
     "two_stage": "select instrument_id, seq, case when p_dir < 0.5e0 then 0 when p_long > 0.5e0 then 1 else -1 end as signal from (select instrument_id, seq, 1 / (1 + exp(-(ofi_fast / 10))) as p_long, 1 / (1 + exp(-(trade_flow_fast / 5))) as p_dir from {flow}) a",
-    "seq_gaps": "select instrument_id, prev_seq, seq, seq - prev_seq - 1 as missing from (select instrument_id, seq, lag(seq) over (order by seq) as prev_seq from {mbo} where seq % 97 <> 0) a where seq - prev_seq > 1",
     "latency_histogram": "select bucket, count(*) as n from (select case when ms < 0.5e0 then 0 when ms < 1 then 1 when ms < 2 then 2 when ms < 4 then 3 when ms < 8 then 4 when ms < 16 then 5 when ms < 32 then 6 when ms < 64 then 7 when ms < 128 then 8 when ms < 256 then 9 when ms < 512 then 10 else 11 end as bucket from (select (seq * 7919 % 10000) / 10e0 as ms from {mbo}) a) b group by bucket",
     "lob_window": "select instrument_id, seq, " + ", ".join(f"{_norm(n)} as {n}" for n in LOOKBACK_NAMES) + " from {lob_window}",
     "stream_book": "select instrument_id, seq, ts_ns, bid, ask, bid_size, ask_size, n_bids, n_asks from {stream_commits}",
