@@ -125,6 +125,25 @@ def test_separator_scan_of_files(spark, tmp_path):
     assert [r["n_tokens"] for r in got] == [1, 0, 3]
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_separator_scan_of_files_in_ranges(spark, tmp_path, width):
+    rng, want = random.Random(30 + width), []
+    for k, n in enumerate((0, 1, 5, 64, 65, 1000)):
+        ids = [rng.choice([50256, *range(9)]) if rng.random() < 0.3 else 7 for _ in range(n)]
+        raw = np.array(ids, dtype=f"<u{width}").tobytes()
+        (tmp_path / f"part {k}%20.bin").write_bytes(raw + b"\x50" * (k % 2))
+        here, ends = [], [i for i, t in enumerate(ids) if t == 50256]
+        for i, at in enumerate(ends):
+            here.append(at - (ends[i - 1] if i else -1) - 1)
+        want += [tuple(here)] if here else []
+    blocks = separators.read_token_files(spark, str(tmp_path), block_tokens=4, id_bytes=width, range_blocks=3)
+    assert blocks.groupBy("file").count().count() == 5 and blocks.rdd.getNumPartitions() > 50
+    got = {}
+    for r in separators.scan(blocks, id_bytes=width).orderBy("file", "block", "nth").collect():
+        got.setdefault(r["file"], []).append(r["n_tokens"])
+    assert sorted(tuple(v) for v in got.values()) == sorted(want)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

@@ -1,8 +1,8 @@
 """Token counts by a separator scan over flat token files (operator 1).
 
-A flat token file is the ids of documents one after the other, two bytes each
+A flat token file is the ids of documents one after the other, of equal width
 (little-endian), every document ended by a separator id, without an index. It
-is read as blocks. Each block is searched for the separator by one vector
+is read as blocks, each by its own offset. Each block is searched for the separator by one vector
 comparison; documents that run over block boundaries are stitched by prefix
 sums over the blocks' summaries, first within groups of blocks and then over
 the groups, so no task sees more than GROUP summaries of a file.
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,10 @@ from .common import column, pick, pieces, small_batches, table, written
 SEPARATOR = 50256
 BLOCK_TOKENS = 1 << 15
 GROUP = 1 << 12
+#: Blocks of a file that one row of the listing stands for (64 MB of two-byte ids), and that are read in one go.
+RANGE_BLOCKS, READ_BLOCKS = 1 << 10, 1 << 5
+#: Tasks that read files, at most; a task then reads several ranges.
+MOST_TASKS = 50_000
 
 
 def token_blocks(docs: DataFrame, rank_file: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -63,20 +68,51 @@ def token_blocks(docs: DataFrame, rank_file: str, block_tokens: int = BLOCK_TOKE
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "file bigint, block bigint, ids binary, ended array<bigint>")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Flat token files under path as (file, block, ids); a file of up to 2 GB is one block."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.xxhash64("path").alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("content").alias("ids"))
+def opened(path: str) -> fs.NativeFile:
+    """A file of the listing for reads at any position, on the executor that asks."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
+    system, at = fs.FileSystem.from_uri(path)
+    return system.open_input_file(at)
 
 
-def scan(blocks: DataFrame, separator: int = SEPARATOR, keep: tuple[str, ...] = ()) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, id_bytes: int = 2, range_blocks: int = RANGE_BLOCKS) -> DataFrame:
+    """Flat token files under path, of ids of id_bytes each, as blocks (file, block, ids) of block_tokens ids.
+
+    Only names and lengths are listed. Each range of range_blocks blocks is
+    read by its own offset, so one large file is spread over many tasks and a
+    task holds a few blocks, however long the file is. An empty file has no block.
+    The store must be one that pyarrow.fs opens (local, hdfs, s3, gs, abfs).
+    """
+    step = block_tokens * id_bytes
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length")
+    part = step * range_blocks
+    total = files.agg(F.sum(F.ceil(F.col("length") / part))).first()[0] or 1
+    ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {part})")).alias("part"))
+    ranges = ranges.select(F.xxhash64("path").alias("file"), "path", "length", "part").repartition(min(int(total), MOST_TASKS), "path", "part")
+    schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("ids", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                first, blocks = row["part"] * range_blocks, -(-row["length"] // step)
+                with opened(row["path"]) as file:
+                    for at in range(first, min(first + range_blocks, blocks), READ_BLOCKS):
+                        some = range(at, min(at + READ_BLOCKS, first + range_blocks, blocks))
+                        raw = [file.read_at(min(step, row["length"] - k * step), k * step) for k in some]
+                        yield pa.RecordBatch.from_arrays([pa.array([row["file"]] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(raw, pa.binary())], schema=schema)
+
+    return ranges.mapInArrow(run, "file bigint, block bigint, ids binary")
+
+
+def scan(blocks: DataFrame, separator: int = SEPARATOR, keep: tuple[str, ...] = (), id_bytes: int = 2) -> DataFrame:
     """(file, block, nth, n_tokens) for each document that ends in a block; nth counts from 0 in the block.
 
     blocks: (file, block, ids binary) and the columns of keep, which are
     arrays of one value per separator and come out as single values.
     The separator itself is not counted. Tokens after the last separator of a
-    file belong to no ended document. Null ids are an empty block; an odd
-    last byte is ignored.
+    file belong to no ended document. Null ids are an empty block; bytes after
+    the last whole id (of id_bytes, little-endian) are ignored.
     """
     types = {c: dict(blocks.dtypes)[c] for c in keep}
     base = pick(blocks, file="bigint", block="bigint", ids="binary", **types)
@@ -85,7 +121,7 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, keep: tuple[str, ...] =
         for batch in batches:
             sizes, where = [], []
             for raw in column(batch, "ids").to_pylist():
-                ids = np.frombuffer(raw or b"", dtype="<u2", count=len(raw or b"") // 2)
+                ids = np.frombuffer(raw or b"", dtype=f"<u{id_bytes}", count=len(raw or b"") // id_bytes)
                 sizes.append(len(ids))
                 where.append(np.flatnonzero(ids == separator))
             cols = [column(batch, "file"), column(batch, "block"), pa.array(sizes, pa.int64()), pa.array(where, pa.list_(pa.int32())), *(column(batch, c) for c in keep)]
