@@ -8,6 +8,7 @@ multiple of the longest single text and not of the batch.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 2 << 20
 #: Rows of an Arrow batch: with texts of a few KB a batch is a few MB.
 BATCH_ROWS = 1024
+#: Masters whose driver and executor are one process, so that a folder of this machine is shared.
+LOCAL = re.compile(r"local(\[|$)")
 
 
 def pick(df: DataFrame, **types: str) -> DataFrame:
@@ -49,9 +52,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where it is set."""
+    """The folder that all executors share: spark.checkpoint.dir where it is set; only a local master gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not LOCAL.match(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='ticklattice-')}"
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
