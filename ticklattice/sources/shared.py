@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder stands in only where that is unset."""
+    """A new path under spark.checkpoint.dir; a temporary folder stands in only where that is unset and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='ticklattice-')}")
         at = spark.sparkContext.getCheckpointDir()
     return f"{at}/{name}-{uuid.uuid4().hex}"
