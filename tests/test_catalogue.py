@@ -9,7 +9,7 @@ import pytest
 from ticklattice import catalogue
 
 SF = "/root/testdata/sf0.001"
-SOME = ["lob_window", "stream_book", "recovery_gaps", "bbo_ring_match", "book_verify", "state_machine", "mbo_projection", "book_bbo_commits", "book_top10", "bbo_cause", "tokenize", "barrier_labels", "serial_trades", "lob_static", "flow_ofi", "cpcv_purge", "markov_order2", "direction_targets", "multi_geometry_labels", "cross_fold_report", "live_events", "exported_days", "markov_sweep", "snapshot_recovery", "latency_percentiles", "flow_averages", "token_windows", "cpcv_boundaries"]
+SOME = ["lob_window", "stream_book", "recovery_gaps", "bbo_ring_match", "book_verify", "state_machine", "mbo_projection", "book_bbo_commits", "book_top10", "bbo_cause", "tokenize", "barrier_labels", "serial_trades", "lob_static", "flow_ofi", "cpcv_purge", "markov_order2", "direction_targets", "multi_geometry_labels", "cross_fold_report", "live_events", "exported_days", "markov_sweep", "snapshot_recovery", "latency_percentiles", "flow_averages", "token_windows", "cpcv_boundaries", "recon_windows", "packed_windows", "stream_recovery", "snapshot_compact", "quote_checks_gated"]
 
 
 def norm(v):

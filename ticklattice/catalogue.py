@@ -6,7 +6,7 @@ import json
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import barriers, book, flow, live, lookback, serial, training
@@ -19,10 +19,11 @@ from .plans.views import DAY_NS, GEOMETRIES, HORIZON_DAYS, TICK
 from .plans.views import _NAME as TOKEN_NAME
 from .plans.views import QUERIES as BOOK_PLANS
 from .plans.views import VIEWS as BOOK_VIEWS
-from .sources import tokens, trees
-from .sources.events import mbo_from_events, read_days, write_days
+from .sources import tokens, trees, windows
+from .sources.events import mbo_from_events, read_days, valid_levels, write_days
 from .sources.shared import shared_path
 from .streaming.book import replayed_as_stream
+from .streaming.recovery import fates_as_stream
 
 PLANS, VIEWS = BOOK_PLANS | FOLD_PLANS, BOOK_VIEWS | FOLD_VIEWS
 #: Views that cost a replay or a fold: written once where a plan reads them more than once.
@@ -169,7 +170,67 @@ def _token_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKEN_TEXT = plain.query(f"""select instrument_id, line, string_agg(name, ' ' order by pos) as text from (
  select instrument_id, pos, {TOKEN_NAME} as name, cast(coalesce(sum(case when token in (1, 2, 3) then 1 else 0 end) over (partition by instrument_id order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as line from {{tokens}}) a group by instrument_id, line""")
 
+#: Tokens of a window, tokens between two windows, commits of a window at most: small, as the event logs of the tests are.
+CONTEXT, STRIDE, MOST = 64, 32, 8
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = Frames(spark, mbo_from_events(spark, sf_dir), "with x as (select 1) {tokens} {commit_states}")
+    states = frames["commit_states"].select("instrument_id", "pos", F.array(*(F.col(f"s{k}").cast("float") for k in range(windows.FIELDS))).alias("state"))
+    return windows.recon_windows(frames["tokens"], states, CONTEXT, STRIDE, MOST)
+
+
+def _window_sums() -> list[Column]:
+    """What the queries on windows say of one window."""
+    places = lambda c: f"aggregate(transform({c}, (t, i) -> bigint(t) * (i + 1)), 0L, (a, t) -> a + t)"
+    fields = lambda c: f"aggregate(transform(commits, c -> coalesce(aggregate(transform(c.{c}, (v, i) -> double(v) * (i + 1)), 0D, (a, v) -> a + v), 0D)), 0D, (a, v) -> a + v)"
+    sums = {"n_commits": "bigint(size(commits))", "n_pre": "bigint(size(filter(commits, c -> c.pre is not null)))", "x_sum": places("x"), "y_sum": places("y"), "at_sum": "aggregate(commits, 0L, (a, c) -> a + c.at)", "post_sum": fields("post"), "pre_sum": fields("pre")}
+    return [F.expr(sql).alias(name) for name, sql in sums.items()]
+
+
+def _recon_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir).select("instrument_id", "start_pos", *_window_sums())
+
+
+def _packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows written as packed files and read back."""
+    path = shared_path(spark, "packed")
+    windows.write_packed(_windows(spark, sf_dir), path, CONTEXT, MOST, rows=100)
+    rows = windows.read_packed(spark, path).select(*_window_sums())
+    return rows.agg(F.count("*").alias("n_windows"), *(F.sum(c).alias(c) for c in rows.columns))
+
+
+def _stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fates_as_stream(Frames(spark, mbo_from_events(spark, sf_dir), "{messages}")["messages"])
+
+
+def _snapshot_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots as arrays of levels, some of them undefined, and the levels that are left of each."""
+    found = Frames(spark, mbo_from_events(spark, sf_dir), "{levels}")["levels"]
+    level = F.expr("struct(lvl, case when (seq + lvl) % 7 = 0 then 9223372036854775807 else price_fp end as price, case when (seq + lvl) % 11 = 0 then 0 else size end as size)")
+    held = found.groupBy("instrument_id", "seq", "side").agg(F.array_sort(F.collect_list(level)).alias("levels"))
+    each = held.select("instrument_id", "seq", "side", F.posexplode(F.expr(valid_levels("levels"))).alias("lvl", "l"))
+    return each.select("instrument_id", "seq", "side", "lvl", F.col("l.price").alias("price_fp"), "l.size")
+
+
+_WINDOWS = f"""with valued as (select instrument_id, pos, {" + ".join(f"s{k} * {k + 1}" for k in range(windows.FIELDS))} as post from {{commit_states}}),
+paired as (select *, lag(post) over (partition by instrument_id order by pos) as pre from valued),
+starts as (select instrument_id, unnest(range(0, max(pos) - {CONTEXT} + 1, {STRIDE})) as start_pos from {{tokens}} group by instrument_id),
+sums as (select w.instrument_id, w.start_pos, sum(case when t.pos < start_pos + {CONTEXT} then token * (t.pos - start_pos + 1) end) as x_sum, sum(token * (t.pos - start_pos)) as y_sum
+ from starts w join {{tokens}} t on t.instrument_id = w.instrument_id and t.pos between w.start_pos and w.start_pos + {CONTEXT} group by w.instrument_id, w.start_pos),
+firsts as (select w.instrument_id, w.start_pos, p.pos - w.start_pos as place, p.post, p.pre, row_number() over (partition by w.instrument_id, w.start_pos order by p.pos) as k
+ from starts w join paired p on p.instrument_id = w.instrument_id and p.pos >= w.start_pos and p.pos < w.start_pos + {CONTEXT})
+select s.instrument_id, s.start_pos, count(f.place) as n_commits, count(f.pre) as n_pre, cast(max(s.x_sum) as bigint) as x_sum, cast(max(s.y_sum) as bigint) as y_sum,
+ cast(coalesce(sum(f.place), 0) as bigint) as at_sum, cast(coalesce(sum(f.post), 0) as double) as post_sum, cast(coalesce(sum(f.pre), 0) as double) as pre_sum
+from sums s left join firsts f on f.instrument_id = s.instrument_id and f.start_pos = s.start_pos and f.k <= {MOST} group by s.instrument_id, s.start_pos"""
+_SUMS = ("n_commits", "n_pre", "x_sum", "y_sum", "at_sum")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(sql) for name, sql in PLANS.items()}
 QUERIES |= {"live_events": _live_events, "exported_days": _exported_days, "tree_score": _tree_score, "token_text": _token_text, "fold_training": _fold_training}
+QUERIES |= {"recon_windows": _recon_windows, "packed_windows": _packed_windows, "stream_recovery": _stream_recovery, "snapshot_compact": _snapshot_compact}
 ORACLES: dict[str, str] = {name: plain.query(sql) for name, sql in PLANS.items()}
 ORACLES["token_text"] = _TOKEN_TEXT
+ORACLES["recon_windows"] = plain.query(_WINDOWS)
+ORACLES["packed_windows"] = f"select count(*) as n_windows, {', '.join(f'cast(sum({c}) as bigint) as {c}' for c in _SUMS)}, sum(post_sum) as post_sum, sum(pre_sum) as pre_sum from ({ORACLES['recon_windows']}) a"
+ORACLES["stream_recovery"] = plain.query(f"select * from ({PLANS['snapshot_recovery']}) a where fate not in ('buffered', 'dropped')")
+ORACLES["snapshot_compact"] = plain.query("select instrument_id, seq, side, cast(row_number() over (partition by instrument_id, seq, side order by lvl) - 1 as int) as lvl, price_fp, size from {levels} where (seq + lvl) % 7 <> 0 and (seq + lvl) % 11 <> 0 and price_fp > 0 and size > 0")

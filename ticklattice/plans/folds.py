@@ -87,10 +87,16 @@ where g.training = 0 group by g.ord""",
     "messages": """
 select instrument_id, seq, ts_ns, case when seq % 211 = 7 then 'clear' when seq % 211 = 60 then 'end' when seq % 211 between 8 and 20 then 'level' else 'event' end as kind,
        case when seq % 211 = 60 then seq - 25 else seq end as number from {mbo}""",
-    # of each message the last clear and the last end before it, of its instrument
+    # of each message the last begin and the last end of a snapshot before it, and the next clear and end, of its instrument; a level outside a snapshot begins one
     "message_state": """
-select *, coalesce(max(case when kind = 'clear' then seq end) over w, -1) as cleared, coalesce(max(case when kind = 'end' then seq end) over w, -1) as ended
-from {messages} window w as (partition by instrument_id order by seq rows between unbounded preceding and 1 preceding)""",
+select *, coalesce(max(case when kind in ('clear', 'level') then seq end) over w, -1) as cleared, coalesce(max(case when kind = 'end' then seq end) over w, -1) as ended,
+       min(case when kind = 'clear' then seq end) over f as next_clear, min(case when kind = 'end' then seq end) over f as next_end, FIRSTV(case when kind = 'end' then number end) over f as next_number
+from {messages} window w as (partition by instrument_id order by seq rows between unbounded preceding and 1 preceding), f as (partition by instrument_id order by seq rows between 1 following and unbounded following)""",
+    # the state of the book at the commits of the tokens: both prices in ticks from a fixed one, five sizes a side
+    "commit_states": """
+select t.instrument_id, t.pos, coalesce((c.bid - 100000000000) / 250000000e0, 0e0) as s0, coalesce((c.ask - 100000000000) / 250000000e0, 0e0) as s1,
+       """ + ", ".join(f"l.{n}_size_{k} as s{2 + 5 * i + k}" for i, n in enumerate(("bid", "ask")) for k in range(5)) + """
+from {tokens} t join {commits} c on c.instrument_id = t.instrument_id and c.seq = t.seq join {lob_sums} l on l.instrument_id = t.instrument_id and l.seq = t.seq where t.token = 3""",
     "order_keys": "select concat('x', cast(order_id as varchar(20))) as order_key, min(seq) as first_seq from {mbo} where action in ('A', 'C', 'M') group by order_id",
     # numbered by first appearance in blocks, so that only the blocks are ordered as a whole
     "key_blocks": "select block, sum(n) over (order by block) - n as before from (select IDIV(first_seq,4096) as block, count(*) as n from {order_keys} group by IDIV(first_seq,4096)) a",
@@ -175,9 +181,8 @@ from {feed} f left join {order_numbers} n on n.order_key = concat('x', cast(f.or
     "quote_updates": "select instrument_id, seq, bid, ask from {commits} where bbo_changed and bid is not null and ask is not null",
     "snapshot_adds": "select instrument_id, seq, side, lvl, 'A' as action, price_fp, size, case when row_number() over (partition by instrument_id, seq order by side desc, lvl desc) = 1 then 128 else 0 end as flags from {levels} where seq % 50 = 1",
     "snapshot_recovery": """
-select m.instrument_id, m.seq, m.kind, case when m.kind <> 'event' then m.kind when m.cleared <= m.ended then 'live' when e.number is null then 'buffered' when m.number > e.number then 'replayed' else 'discarded' end as fate
-from {message_state} m left join (select instrument_id, cleared, min_by(number, seq) as number from {message_state} where kind = 'end' and cleared > ended group by instrument_id, cleared) e
-  on e.instrument_id = m.instrument_id and e.cleared = m.cleared""",
+select instrument_id, seq, kind, case when kind <> 'event' then kind when cleared <= ended then 'live' when next_end is null then 'buffered' when next_clear < next_end then 'dropped' when number > next_number then 'replayed' else 'discarded' end as fate
+from {message_state}""",
     "recovery_degraded": "select instrument_id, count(*) as recoveries, case when count(*) - 1 >= 10 then 1 else 0 end as degraded from {message_state} where kind = 'end' and cleared > ended group by instrument_id",
     "quote_checks_gated": "select q.instrument_id, q.seq, case when s.ended > s.cleared and q.k > 1 then 1 else 0 end as checked from {quotes} q join {message_state} s on s.instrument_id = q.instrument_id and s.seq = q.seq",
     "liveness": f"select instrument_id, seq, ts_ns - before as silent_ns, case when ts_ns - before > {2 * HEARTBEAT_NS} then 1 else 0 end as dead from (select instrument_id, seq, ts_ns, lag(ts_ns) over (partition by instrument_id order by seq) as before from {{mbo}}) a where before is not null",

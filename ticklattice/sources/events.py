@@ -33,6 +33,12 @@ def mbo_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PROJECTION, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+
+def valid_levels(levels: str) -> str:
+    """SQL for the defined levels of an array of (price, size) in their order; those behind an undefined one move up."""
+    return f"filter({levels}, l -> l.price > 0 and l.price < 9223372036854775807 and l.size > 0)"
+
+
 def _dated() -> Column:
     """The date in the stem of a file: YYYYMMDD or YYYY-MM-DD, with or without -events, or a folder date=YYYYMMDD."""
     stem = F.regexp_extract(F.input_file_name(), r"(\d{4}-?\d{2}-?\d{2})(?:-events)?(?:\.parquet$|/)", 1)
