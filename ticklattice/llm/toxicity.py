@@ -33,6 +33,8 @@ ORDER, GAPS, DECAY, LANDMARKS = 4, 2, 0.6, 96
 #: A unit that is less similar than this to every landmark counts as similar to none.
 FLOOR = 0.2
 THRESHOLD = 0.3
+#: Units of clean texts that the machine is trained on, at most: those most similar to a landmark.
+HARDEST = 20000
 GAPPED = [g for g in product(range(GAPS + 1), repeat=ORDER - 1) if sum(g) <= GAPS]
 SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -253,6 +255,25 @@ class Model:
         return np.full(len(texts), 0.5) if self.fit is None else probability(self.margins(texts), self.fit)
 
 
+def parts(rows: list[tuple[str, int]], chars: int = 1 << 17) -> Iterator[list[tuple[str, int]]]:
+    """rows in their order, in parts of about so many characters, so that the arrays of one part stay small."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[0])
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def hardest(neg: list[np.ndarray]) -> np.ndarray:
+    """The HARDEST rows with the largest similarities, earlier ones first among equals."""
+    every = np.vstack(neg)
+    return every[np.argsort(-every.max(axis=1, initial=0), kind="stable")[:HARDEST]]
+
+
 def train(rows: list[tuple[str, int]]) -> Model:
     """A model of labelled texts; without a landmark every score is 0.5 and no text is predicted toxic."""
     landmarks = choose(rows)
@@ -264,21 +285,22 @@ def train(rows: list[tuple[str, int]]) -> Model:
     gram[at] = k_ll
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    pos, neg = [], []
-    for a in range(0, len(rows), 200):
-        part = rows[a : a + 200]
+    pos, neg = [], [np.zeros((0, len(landmarks)))]
+    for part in parts(rows):
         _, k, doc = kernel.rows([t for t, _ in part])
         y = np.array([y for _, y in part])[doc]
         near = k.max(axis=1, initial=0)
         pos.append(k[(y == 1) & (near >= 0.8)])
         neg.append(k[(y == 0) & (near >= 0.05)])
-    pos, neg = np.vstack(pos), np.vstack(neg)
-    hard = np.argsort(-neg.max(axis=1, initial=0), kind="stable")[:20000]
-    x = np.vstack([pos, neg[hard], np.zeros((1, len(landmarks)))]) @ root
-    w, bias = support_vector_fit(x, np.concatenate([np.ones(len(pos)), -np.ones(len(hard) + 1)]))
+        if sum(map(len, neg)) > 2 * HARDEST:
+            neg = [hardest(neg)]
+    pos, neg = np.vstack(pos), hardest(neg)
+    x = np.vstack([pos, neg, np.zeros((1, len(landmarks)))]) @ root
+    w, bias = support_vector_fit(x, np.concatenate([np.ones(len(pos)), -np.ones(len(neg) + 1)]))
     model = Model(kernel, root @ w, bias)
-    margins = np.vstack([model.margins([t for t, _ in rows[a : a + 200]]) for a in range(0, len(rows), 200)])
+    margins = np.vstack([model.margins([t for t, _ in part]) for part in parts(rows)])
     model.fit = logistic(margins, np.array([y for _, y in rows], dtype=float))
+    kernel.column = None
     return model
 
 
