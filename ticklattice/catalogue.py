@@ -9,10 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import barriers, book, flow, live, lookback, serial, training
+from .operators import barriers, book, flow, live, lookback, ngrams, serial, training
 from .plans import plain
 from .plans.dialect import needs, occurrences, spark_sql
-from .plans.folds import DEFAULT_GEOMETRIES
+from .plans.folds import DEFAULT_GEOMETRIES, MAX_ORDER, STRANGE_CONTEXTS
 from .plans.folds import QUERIES as FOLD_PLANS
 from .plans.folds import VIEWS as FOLD_VIEWS
 from .plans.views import DAY_NS, GEOMETRIES, HORIZON_DAYS, TICK
@@ -31,7 +31,7 @@ COSTLY = {"book", "flow", "outcomes", "outcomes_all", "tokens", "trades", "conte
 #: What the operators read that stand in for a view's SQL.
 _BEHIND = {
     "book": "{mbo}", "levels": "{book}", "flow": "{book}", "lob_window": "{book}", "stream_commits": "{mbo}", "trades": "{candidates}",
-    "outcomes": "{barrier_ticks}", "outcomes_all": "{barrier_ticks}", "lob_sums": "{book}", "slots": "{tokens_of}",
+    "outcomes": "{barrier_ticks}", "outcomes_all": "{barrier_ticks}", "lob_sums": "{book}", "slots": "{tokens_of}", "order_perplexity": "{halves}",
 }
 
 
@@ -103,6 +103,18 @@ class Frames:
     def _outcomes_all(self) -> DataFrame:
         return barriers.barrier_labels(self["barrier_ticks"], barriers.parse_geometries(DEFAULT_GEOMETRIES), HORIZON_DAYS * DAY_NS, TICK)
 
+    def _order_perplexity(self) -> DataFrame:
+        """Contexts of bytes by one pass over windows; those with a token that no byte can say, if there are any, as texts."""
+        halves = self["halves"]
+        sums = ngrams.context_sums(halves, MAX_ORDER)
+        if not halves.where(ngrams.strange("token")).isEmpty():
+            path = shared_path(self.spark, "contexts")
+            self.plan(STRANGE_CONTEXTS).write.parquet(path)
+            self.made["contexts"] = self.spark.read.parquet(path)
+            texts = self.plan(VIEWS["order_perplexity"]).selectExpr("ord", "n", "-log2(perplexity) * n as bits")
+            sums = sums.unionByName(texts).groupBy("ord").agg(F.sum("n").alias("n"), F.sum("bits").alias("bits"))
+        return sums.selectExpr("ord", "n", "pow(2D, -bits / n) as perplexity")
+
     def _stream_commits(self) -> DataFrame:
         return replayed_as_stream(self["mbo"])
 

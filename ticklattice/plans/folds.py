@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators.lookback import NAMES as LOOKBACK_NAMES
+from ..operators.ngrams import strange
 from .views import _DERIVED, _METRICS, _NAME, _PNL, _P_NULL, DAY_NS, FLOWS, SCALES, TICK
 from .views import QUERIES as BOOK_QUERIES
 from .views import VIEWS as BOOK_VIEWS
@@ -107,6 +108,10 @@ from {tokens} t join {commits} c on c.instrument_id = t.instrument_id and c.seq
     "kept_tokens": "select *, IDIV(pos,64) * 64 as own from {tokens}",
 }
 
+#: The contexts that hold a token that no byte can say (a missing one too), for those few by themselves.
+_ODD = " or ".join(f"ord >= {k} and {strange(f'l{k}')}" for k in range(1, MAX_ORDER + 1))
+STRANGE_CONTEXTS = f"{VIEWS['contexts']} and ({_ODD})"
+
 #: The columns of a model's input, in order: 32 of the book, ten of the look-back, 48 of the flow.
 LOB_NAMES = [f"{n}_size_{k}" for n in ("bid", "ask") for k in range(10)] + [f"imbalance_d{k}" for k in (1, 3, 5, 10)]
 LOB_NAMES += ["weighted_imbalance", "spread_ticks", "bid_hhi", "ask_hhi", "bid_slope", "ask_slope", "bid_levels", "ask_levels"]
