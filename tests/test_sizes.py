@@ -8,6 +8,7 @@ import pytest
 
 from ticklattice import catalogue
 from ticklattice.operators import ngrams
+from ticklattice.plans.dialect import spark_sql
 from ticklattice.plans.folds import MAX_ORDER
 
 
@@ -44,3 +45,22 @@ def test_contexts_without_texts(spark, monkeypatch, odd):
     got = {r["ord"]: (r["n"], round(r["perplexity"], 6)) for r in frames["order_perplexity"].collect()}
     assert got == plain_perplexity(halves, MAX_ORDER)
     assert ("contexts" in frames.made) == odd  # thirty texts a token only where a token is no byte
+
+
+BACKWARD = ["direction_metrics", "direction_targets"]
+
+
+@pytest.mark.parametrize("name", BACKWARD)
+def test_no_frame_is_walked_anew_for_each_row(spark, name):
+    df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().analyzed().toString().lower()
+    assert "unboundedpreceding" in plan.replace(" ", "") and "unboundedfollowing" not in plan.replace(" ", "")
+
+
+def test_frames_read_backward(spark):
+    rows = [(i, k, None if (k * 7 + i) % 3 else k) for i in range(3) for k in range(20)]
+    x = spark.createDataFrame(rows, "g int, k int, v int")
+    sql = "select *, FIRSTV(v) over f as later, FIRSTV(v) over (partition by g order by k, v rows between current row and unbounded following) as now, min(v) over f as least from {x} window f as (partition by g order by k rows between 1 following and unbounded following)"
+    for r in spark.sql(spark_sql(sql), x=x).collect():
+        after = [v for g, k, v in rows if g == r["g"] and k > r["k"] and v is not None]
+        assert (r["later"], r["now"], r["least"]) == ((after or [None])[0], r["k"] if r["v"] is not None else (after or [None])[0], min(after, default=None))
