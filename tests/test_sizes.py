@@ -1,5 +1,6 @@
 """Plans that must hold on longer tables than the others' tests have."""
 
+import decimal
 import math
 import random
 from collections import Counter
@@ -7,7 +8,8 @@ from collections import Counter
 import pytest
 
 from ticklattice import catalogue
-from ticklattice.operators import ngrams
+from ticklattice.operators import flow, ngrams
+from ticklattice.operators.ema import SCALES
 from ticklattice.plans.dialect import spark_sql
 from ticklattice.plans.folds import MAX_ORDER
 
@@ -64,3 +66,23 @@ def test_frames_read_backward(spark):
     for r in spark.sql(spark_sql(sql), x=x).collect():
         after = [v for g, k, v in rows if g == r["g"] and k > r["k"] and v is not None]
         assert (r["later"], r["now"], r["least"]) == ((after or [None])[0], r["k"] if r["v"] is not None else (after or [None])[0], min(after, default=None))
+
+
+def exact_average(updates, half_life):
+    with decimal.localcontext(prec=50):
+        decay, x = decimal.Decimal(2) ** (decimal.Decimal(-1) / half_life), decimal.Decimal(0)
+        for v in updates:
+            x = x * decay + v
+        return float(x)
+
+
+def test_averages_of_long_series_neither_drift_nor_overflow(spark):
+    n = 60_000  # with more than 51,200 updates of the fast average, 2 ** (n / 50) is no double
+    book = spark.range(n).selectExpr("1L as instrument_id", "id as seq", "id as ts_ns", "'A' as action", "if(id % 2 = 0, 'B', 'A') as side", "1 + id * 7919 % 100 as size",
+        f"int(id >= {n - 2}) as is_commit", "100L as bid", "200L as ask", "1 + id * 31 % 50 as bid_size", "1L as ask_size")
+    got = flow.flow_states(book).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == [n - 2, n - 1]
+    sizes = [1 + i * 7919 % 100 for i in range(n)]
+    for scale, half_life in SCALES.items():
+        want = {"event_intensity": [1] * n, "add_bid": sizes[::2], "add_ask": sizes[1::2], "trade_flow": []}
+        assert {k: got[1][f"{k}_{scale}"] for k in want} == {k: exact_average(v, half_life) for k, v in want.items()}

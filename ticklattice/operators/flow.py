@@ -2,12 +2,15 @@
 
 An average counts updates, not time: it decays by half over its half-life in
 updates of its own and then takes the new value. All of them go on in one fold
-over the events of an instrument, which hold only what they are now.
+over the events of an instrument, which hold only what they are now. Sums are
+whole numbers of 2**-96 relative to the last full half-life, so that they
+neither drift nor overflow, and each average is rounded once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal, localcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +33,19 @@ FLOW_SCHEMA = "instrument_id bigint, seq bigint, ts_ns bigint, " + ", ".join(f"{
 _FLOWS = list(EVENT_FLOWS)
 _OFI, _EVERY, _TRADES = len(_FLOWS), _FLOWS.index("event_intensity"), _FLOWS.index("trade_intensity")
 _BY_ACTION = {("C", True): "cancel_bid", ("C", False): "cancel_ask", ("A", True): "add_bid", ("A", False): "add_ask"}
-_DECAY = [2.0 ** (-1 / h) for h in SCALES.values()]
+
+
+def _growth(half_life: int) -> list[int]:
+    """2 ** (r / half_life) for each r below half_life, in units of 2**-96."""
+    with localcontext(prec=60):
+        step = int(Decimal(2) ** (Decimal(1) / half_life) * 2**160)
+    powers = [1 << 160]
+    while len(powers) < half_life:
+        powers.append(powers[-1] * step >> 160)
+    return [p >> 64 for p in powers]
+
+
+_GROWTH = [_growth(h) for h in SCALES.values()]
 
 
 def queue_change(now: int | None, size: int, before: int | None, size_before: int) -> int:
@@ -54,25 +69,32 @@ def flow_states(book: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, values, last, dt, best = None, [], None, 0, (None, 0, None, 0)
-        scales = range(len(_DECAY))
+        counts, sums, stale = [], [], set()
+        scales = [(k, len(grow), grow) for k, grow in enumerate(_GROWTH)]
 
-        def update(flow: int, x: float) -> None:
-            for k in scales:
-                values[flow * len(_DECAY) + k] = values[flow * len(_DECAY) + k] * _DECAY[k] + x
+        def update(flow: int, x: int) -> None:
+            counts[flow] += 1
+            n, held = counts[flow], sums[flow]
+            for k, half_life, grow in scales:
+                r = n % half_life
+                held[k] = (held[k] if r else held[k] >> 1) + x * grow[r]
+            stale.add(flow)
 
         for batch in batches:
             out = []
             for inst, seq, ts, action, side, size, commit, bid, ask, bid_size, ask_size in zip(*(c.to_pylist() for c in batch.columns)):
                 if inst != of:
                     of, values, last, dt, best = inst, [0.0] * len(NAMES), None, 0, (None, 0, None, 0)
+                    counts, sums = [0] * (_OFI + 1), [[0] * len(scales) for _ in range(_OFI + 1)]
+                    stale.clear()
                 if last is not None and ts >= last:
                     dt = ts - last
                 last = ts
-                update(_EVERY, 1.0)
+                update(_EVERY, 1)
                 if action in ("T", "F"):
                     update(0, size if side == "B" else -size)
                     if action == "T":
-                        update(_TRADES, 1.0)
+                        update(_TRADES, 1)
                 elif (action, side == "B") in _BY_ACTION:
                     update(_FLOWS.index(_BY_ACTION[action, side == "B"]), size)
                 if commit:
@@ -80,6 +102,10 @@ def flow_states(book: DataFrame) -> DataFrame:
                     if ofi:
                         update(_OFI, ofi)
                     best = bid, bid_size, ask, ask_size
+                    for flow in stale:
+                        for k, half_life, grow in scales:
+                            values[flow * len(scales) + k] = sums[flow][k] / grow[counts[flow] % half_life]
+                    stale.clear()
                     out.append((inst, seq, ts, *values, dt, 1e9 / dt if dt > 0 else 0.0))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(names), schema)], schema=schema)
 
