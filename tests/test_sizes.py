@@ -3,6 +3,7 @@
 import decimal
 import math
 import random
+import threading
 from collections import Counter
 
 import pytest
@@ -68,6 +69,41 @@ def test_frames_read_backward(spark):
         assert (r["later"], r["now"], r["least"]) == ((after or [None])[0], r["k"] if r["v"] is not None else (after or [None])[0], min(after, default=None))
 
 
+def plain_fates(messages):
+    """By number of a message, in one pass: what is held goes with the next clear or end."""
+    fates, held, loading = {}, [], False
+    last_end = max((seq for seq, kind, _ in messages if kind == "end"), default=-1)
+    for seq, kind, number in messages:
+        if kind == "event":
+            if loading:
+                held.append((seq, number))
+            fates[seq] = "buffered" if loading else "live"
+            continue
+        fates[seq] = kind
+        if kind == "clear":
+            fates |= {s: "dropped" for s, _ in held if s < last_end}
+        elif kind == "end":
+            fates |= {s: "replayed" if n > number else "discarded" for s, n in held}
+        held, loading = held if kind == "level" else [], kind != "end"
+    return fates
+
+
+def test_fates_of_a_long_feed(spark):
+    rng = random.Random(3)
+    kinds = lambda n: rng.choices(["event", "clear", "level", "end"], [90, 2, 2, 3 if n < 59_000 else 0])[0]
+    feeds = {1: [(n, kinds(n), n - rng.randrange(40)) for n in range(60_000)], 2: [(n, kinds(n), n) for n in range(50)]}
+    frames = catalogue.Frames(spark, None, catalogue.PLANS["snapshot_recovery"])
+    frames.made["messages"] = spark.createDataFrame([(i, *m) for i, feed in feeds.items() for m in feed], "instrument_id bigint, seq bigint, kind string, number bigint")
+    stop = threading.Timer(120, spark.sparkContext.cancelAllJobs)  # with frames walked anew for each row it is not done by then
+    stop.start()
+    try:
+        got = frames.plan(catalogue.PLANS["snapshot_recovery"]).collect()
+    finally:
+        stop.cancel()
+    assert len(got) == 60_050 and len({r["fate"] for r in got}) == 8
+    assert {(r["instrument_id"], r["seq"]): r["fate"] for r in got} == {(i, seq): fate for i, feed in feeds.items() for seq, fate in plain_fates(feed).items()}
+
+
 def exact_average(updates, half_life):
     with decimal.localcontext(prec=50):
         decay, x = decimal.Decimal(2) ** (decimal.Decimal(-1) / half_life), decimal.Decimal(0)
