@@ -56,6 +56,22 @@ def test_removes_repeats(spark):
     assert debruijn.remove_repeats(docs(spark, []), span).count() == 0
 
 
+def test_path_held_often_is_asked_for_once(spark):
+    """Of n equal paths in a text, and of n equal rows, the hits of a text are n and not n * n."""
+    period = " ".join(["is", "onhe."] * 60)
+    rows = [(1, "von " * 3000), (2, period), (3, "a b " + period), *[(4, " ".join("w%d" % i for i in range(90)))] * 40, (5, "lone")]
+    named = docs(spark, rows).withColumn("row", F.xxhash64("doc_id", "text"))
+    hits = [[(h.key1, h.key2) for h in r.hits] for r in debruijn.repeated_paths(named, 35).collect()]
+    assert len(hits) == 4 and all(len(set(h)) == len(h) for h in hits)
+    assert min(map(len, hits)) == 1
+
+
+def test_long_text_of_one_word(spark):
+    rows = [(1, "von " * 150_000 + "fin"), (2, "fin von")]
+    got = sorted(tuple(r)[:3] for r in debruijn.remove_repeats(docs(spark, rows), 35, texts=False).collect())
+    assert got == [(1, 150_001, 150_000), (2, 2, 0)]
+
+
 def test_repeated_row_loses_all(spark):
     t = " ".join("w%d" % i for i in range(50))
     got = debruijn.remove_repeats(docs(spark, [(1, t), (1, t), (2, "a")]), 35).collect()

@@ -83,8 +83,18 @@ class Paths:
         """Of the words start .. end (exclusive)."""
         return digests(memoryview(self.flat), self.begin[start], self.begin[end])
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(path, n): one path of each key of each text, and how often that text holds it."""
+        order = np.lexsort((self.key2, self.key1, self.text))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in (self.text, self.key1, self.key2)])
+        return order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
+
     def find(self, text: np.ndarray, key1: np.ndarray, key2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which, path): for every asked (text, key1, key2) the paths of that text with that key."""
+        """(which, path): for every asked (text, key1, key2) the paths of that text with that key.
+
+        Asked once each, no more than there are paths; a key asked as often as its text holds it would give the square of that.
+        """
         name = lambda t, x, y: mix(mix(x.view(U) + t.astype(U) * U(0x9E3779B97F4A7C15)) ^ y.view(U))
         have, asked = name(self.text, self.key1, self.key2), name(text, key1, key2)
         order = np.argsort(have, kind="stable")
@@ -114,16 +124,17 @@ def anchor_words(span: int) -> int:
 
 
 def path_rows(docs: DataFrame, span: int) -> DataFrame:
-    """(row, anchor, key1, key2) for every path of docs (row, text)."""
+    """(row, anchor, key1, key2, n) for every path of docs (row, text) that a text holds n times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
                 p = Paths(column(piece, "text"), span)
-                cols = [column(piece, "row").take(pa.array(p.text)), *(pa.array(c, pa.int64()) for c in (p.anchor, p.key1, p.key2))]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "anchor", "key1", "key2"])
+                i, n = p.distinct()
+                cols = [column(piece, "row").take(pa.array(p.text[i])), *(pa.array(c, pa.int64()) for c in (p.anchor[i], p.key1[i], p.key2[i], n))]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "anchor", "key1", "key2", "n"])
 
-    return docs.mapInArrow(run, "row bigint, anchor bigint, key1 bigint, key2 bigint")
+    return docs.mapInArrow(run, "row bigint, anchor bigint, key1 bigint, key2 bigint, n bigint")
 
 
 def window_rows(asked: DataFrame, span: int) -> DataFrame:
@@ -150,7 +161,7 @@ def window_rows(asked: DataFrame, span: int) -> DataFrame:
 def kept_words(flagged: DataFrame, span: int, texts: bool) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of (doc_id, text, hits array<struct<key1, key2, offs array<bigint>>>), and kept if texts.
 
-    offs null: every window of the path repeats; hits null: the text has no repeated window.
+    offs null: every window of the path repeats; hits null: the text has no repeated window. A text's hits name a key once.
     """
     schema = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(schema + [("kept", pa.string())] * texts)
@@ -194,9 +205,9 @@ def kept_words(flagged: DataFrame, span: int, texts: bool) -> DataFrame:
 def repeated_paths(docs: DataFrame, span: int) -> DataFrame:
     """(row, hits): for each text with a repeated window its paths that hold one, and where."""
     found = written(path_rows(docs, span), "paths")
-    twice = written(found.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor"), "twice")
+    twice = written(found.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor"), "twice")
     occurrences = written(found.join(twice, "anchor", "left_semi"), "occurrences")
-    keyed = written(occurrences.groupBy("anchor", "key1", "key2").agg(F.count("*").alias("n"), F.min("row").alias("row")), "keyed")
+    keyed = written(occurrences.groupBy("anchor", "key1", "key2").agg(F.sum("n").alias("n"), F.min("row").alias("row")), "keyed")
     branches = written(keyed.groupBy("anchor").agg(F.count("*").alias("paths")), "anchors")
     paths = written(keyed.join(branches, "anchor"), "graph")
     whole = paths.where("n > 1").select("key1", "key2", F.lit(None).cast("array<bigint>").alias("offs"))
@@ -210,7 +221,8 @@ def repeated_paths(docs: DataFrame, span: int) -> DataFrame:
     partly = windows.join(single, ["key1", "key2"], "left_semi").join(again, ["w1", "w2"], "left_semi")
     partly = partly.groupBy("key1", "key2").agg(F.collect_list("off").alias("offs"))
     hits = written(whole.unionByName(partly), "hits")
-    met = occurrences.select("row", "key1", "key2").join(hits, ["key1", "key2"]).select("row", F.struct("key1", "key2", "offs").alias("hit"))
+    # rows that share a name share its hits, so these are listed once and not once for each such row
+    met = occurrences.select("row", "key1", "key2").distinct().join(hits, ["key1", "key2"]).select("row", F.struct("key1", "key2", "offs").alias("hit"))
     return met.groupBy("row").agg(F.collect_list("hit").alias("hits"))
 
 
